@@ -177,9 +177,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component: that with its smallest id; of rows with equal ids any one stays."""
-    keep = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates([doc_id])
+    """One row of each component: that with its smallest id; of rows with equal ids any one stays, rows without ids all do."""
+    keep = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(keep, doc_id).select(*docs.columns).dropDuplicates([doc_id]).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
