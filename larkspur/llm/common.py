@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,15 @@ def drop_stash(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(*stashes: DataFrame) -> None:
+    """Delete tables that nothing reads any more, and let Spark's cleaner find the shuffles of finished jobs."""
+    for df in stashes:
+        drop_stash(df)
+        spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves it small; else unhinted, for a shuffled join that AQE can split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

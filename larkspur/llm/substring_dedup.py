@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import own, stash
+from .common import own, release, stash
 
 LENGTH, SEED = 20, 8
 
@@ -142,13 +142,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     place = F.struct("doc_id", "low")
     first = stash(found.groupBy("seed", "extent").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "extents")
     again = first.where("n > 1").select("seed", "extent", "first")
-    whole = found.join(again, ["seed", "extent"]).where(~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", "more")
+    whole = stash(found.join(again, ["seed", "extent"]).where(~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", "more"), "whole")
+    release(found)
     # seeds in several extents: extend word by word, for the first place of each extent
     several = first.groupBy("seed").agg(F.count(F.lit(1)).alias("extents")).where("extents > 1").select("seed")
-    lows = first.join(several, "seed", "left_semi").select("first.doc_id", "first.low").groupBy("doc_id").agg(F.collect_list("low").alias("lows"))
+    lows = stash(first.join(several, "seed", "left_semi").select("first.doc_id", "first.low").groupBy("doc_id").agg(F.collect_list("low").alias("lows")), "lows")
+    release(first)
     single = stash(docs.join(lows, "doc_id").select("doc_id", "text", "lows").mapInArrow(windows(length, seed), f"seed long, win long, doc_id {kind}, low long"), "windows")
+    release(lows)
     least = stash(single.groupBy("seed", "win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "win", "first"), "firsts")
-    part = single.join(least, ["seed", "win"]).where(~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", F.lit(0).alias("more"))
+    part = stash(single.join(least, ["seed", "win"]).where(~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", F.lit(0).alias("more")), "part")
+    release(single, least)
     return whole.unionByName(part)
 
 
