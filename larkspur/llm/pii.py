@@ -215,7 +215,8 @@ def listed(spans: Column) -> Column:
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
+    counted = lambda k: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == k))).cast("long")
     return found.select(
-        "doc_id", *[F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        "doc_id", *[counted(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"),
     )
