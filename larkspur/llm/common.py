@@ -74,6 +74,12 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def numbered(df: DataFrame, *names: str) -> tuple:
+    """df with its columns named by place, then the new names of the given ones: names an operator adds cannot clash."""
+    kept = df.columns
+    return df.toDF(*[f"_c{i}" for i in range(len(kept))]), *[f"_c{kept.index(n)}" for n in names]
+
+
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, resolved by position so that further columns with clashing names do no harm."""
     kept = df.columns

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import own
+from .common import numbered, own
 
 WIDTH = 13
 RESULT = "n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,item_start:int,doc_start:long,n_words:int>>"
@@ -186,8 +186,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", share: int = 20, **options) -> DataFrame:
     """docs without those of which at least one word in ``share`` lies in a benchmark passage."""
-    found = find_matches(docs, benchmark, text=text, places=False, **options)
-    return found.where(~((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    flat, text = numbered(docs, text)
+    found = find_matches(flat, benchmark, text=text, places=False, **options)
+    return found.where(~((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))).select(*flat.columns).toDF(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

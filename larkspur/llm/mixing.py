@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own, small, stash, words
+from .common import numbered, own, small, stash, words
 
 BITS, RANGE_BITS = 60, 50
 WEIGHTS = (5, 2, 1)
@@ -85,10 +85,11 @@ def repetitions(u: Column) -> Column:
 
 def mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: str = "mix-0:", **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken."""
-    _, sources = plan_mix(docs, source=source, doc_id=doc_id, text=text, seed=seed, **options)
+    flat, source, doc_id, text = numbered(docs, source, doc_id, text)
+    _, sources = plan_mix(flat, source=source, doc_id=doc_id, text=text, seed=seed, **options)
     sources = small(sources.withColumnRenamed("source", "_mixed"))
-    found = docs.join(sources, F.col(f"`{source}`").eqNullSafe(F.col("_mixed"))).withColumn("_times", repetitions(hashed(F.col(f"`{doc_id}`"), seed)))
-    return found.where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = flat.join(sources, F.col(source).eqNullSafe(F.col("_mixed"))).withColumn("_times", repetitions(hashed(F.col(doc_id), seed)))
+    return found.where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*flat.columns).toDF(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

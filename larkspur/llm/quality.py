@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import numbered, words
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_marks")
 
@@ -136,7 +136,8 @@ def score_quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without those that the rules reject."""
-    return score_quality(docs, text).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    flat, text = numbered(docs, text)
+    return score_quality(flat, text).where("kept").select(*flat.columns).toDF(*docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

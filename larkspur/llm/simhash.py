@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import own, small, stash
+from .common import numbered, own, small, stash
 from .components import components
 
 FAN = 8
@@ -178,8 +178,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component: that with its smallest id; of rows with equal ids any one stays, rows without ids all do."""
-    keep = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(keep, doc_id).select(*docs.columns).dropDuplicates([doc_id]).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    flat, doc_id, text = numbered(docs, doc_id, text)
+    keep = near_duplicates(flat, doc_id=doc_id, text=text, **options).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    kept = flat.join(keep, doc_id).select(*flat.columns).dropDuplicates([doc_id])
+    return kept.unionByName(flat.where(F.col(doc_id).isNull())).toDF(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -32,6 +32,21 @@ def none(spark):
     return spark.createDataFrame([], COLUMNS)
 
 
+CLASHING = ("n_words", "n_hit", "items", "size", "cut", "whole", "pick", "target", "kept", "fp", "component_id", "_words", "_c1")
+
+
+def test_stages_leave_clashing_columns_alone(spark, docs):
+    from pyspark.sql import functions as F
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    more = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    for stage in (quality.keep_good, simhash.drop_near_duplicates, lambda d: decontam.remove_contaminated(d, bench), mixing.mix):
+        made = stage(more)
+        assert made.columns == more.columns and got(made.select("doc_id"), "doc_id") == got(stage(docs).select("doc_id"), "doc_id")
+        assert made.where(" or ".join(f"`{c}` <> 'own {c}'" for c in CLASHING)).count() == 0
+    assert tokens.token_output(more).count() == docs.count()
+
+
 def got(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
