@@ -162,7 +162,7 @@ def matcher(blocks: list, width: int, text: str, places: bool, carry: list[str])
                     names=[*carry, "n_words", "n_hit", "items", "matches"],
                 )
 
-    return rows
+    return tv.lean(rows)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = 1_000_000, places: bool = True, carry: list[str] | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def prints(shingle: int, text: str, carry: list[str]):
                     out[full] = np.packbits(2 * sums > count[full][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
                 yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in carry), pa.array(out.view(np.int64))], names=[*carry, "fp"])
 
-    return rows
+    return tv.lean(rows)
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", carry: list[str], shingle: int = 3) -> DataFrame:
@@ -144,7 +144,7 @@ def forest_links(bits: int):
             a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
             yield pa.record_batch([pa.array(forest.fp[a].view(np.int64)), pa.array(forest.fp[b].view(np.int64))], names=["a", "b"])
 
-    return rows
+    return tv.lean(rows)
 
 
 def near_links(fps: DataFrame, bits: int = 3, split: int = 20_000) -> DataFrame:

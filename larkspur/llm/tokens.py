@@ -142,7 +142,7 @@ def encoder(path: str | None, end_id: int, carry: list[str], text: str) -> Calla
         made = _made.get(place) or _made.setdefault(place, Pieces(place))
         before = 0
         for batch in batches:
-            for part, data, off in tv.chunks(batch, text):
+            for part, data, off in tv.chunks(batch, text, tv.CHUNK // 4):
                 ids, n = made.encode(data, off)
                 stop = np.concatenate([[0], np.cumsum(n + 1)])
                 out = np.full(stop[-1], end_id, np.int32)
@@ -155,7 +155,7 @@ def encoder(path: str | None, end_id: int, carry: list[str], text: str) -> Calla
                 )
                 before += int(stop[-1])
 
-    return rows
+    return tv.lean(rows)
 
 
 def write_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, shards: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
@@ -169,6 +169,7 @@ def write_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     spark.read.schema("shard int, ids array<int>").orc(f"{path}/data").groupBy("shard").agg(F.sum(F.size("ids")).alias("n_ids"), F.count(F.lit(1)).alias("n_docs")).coalesce(1).write.orc(f"{path}/manifest")
 
 
+@tv.lean
 def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("ids"))
