@@ -38,9 +38,14 @@ def default_tokenizer() -> str:
 
 
 class Pieces:
-    """Encodes texts piece by piece, with a bounded cache of the pieces' ids."""
+    """Encodes texts piece by piece, with a bounded cache of the pieces' ids.
 
-    MOST = 300_000
+    The cache is two sorted tables of (key, place in the pool, number of ids): new pieces enter the small one, which
+    is merged into the large one from time to time, so that a chunk does not copy all that is held.
+    """
+
+    MOST = 1_000_000
+    AT_ONCE = 4096
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,7 +57,8 @@ class Pieces:
         self.empty()
 
     def empty(self) -> None:
-        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32))
+        self.large, self.fresh = none, none
         self.pool, self.used = np.empty(1 << 16, np.int32), 0
 
     def ask(self, points: np.ndarray) -> None:
@@ -91,6 +97,31 @@ class Pieces:
             edge[quote[found] + 1 + len(e)] = True
         return np.flatnonzero(edge[:n])
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of each key, -1 and 0 for unknown ones."""
+        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for held, where, many in (self.large, self.fresh):
+            if len(held):
+                k = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                hit = held[k] == keys
+                at[hit], size[hit] = where[k[hit]], many[k[hit]]
+        return at, size
+
+    def learn(self, keys: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode the pieces of sorted new keys and hold their ids; where these are and how many."""
+        pieces = [text[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = [x.ids for i in range(0, len(pieces), self.AT_ONCE) for x in self.library.encode_batch_fast(pieces[i : i + self.AT_ONCE], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], np.int64)
+        at = self.used + np.cumsum(size) - size
+        self.used += int(size.sum())
+        while self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[at[0] : self.used] = [i for x in ids for i in x]
+        self.fresh = merged(self.fresh, (keys, at.astype(np.int32), size.astype(np.int32)))
+        if len(self.fresh[0]) > len(self.large[0]) // 8:
+            self.large, self.fresh = merged(self.large, self.fresh), tuple(x[:0] for x in self.fresh)
+        return at, size
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
         if not len(data):
@@ -107,32 +138,24 @@ class Pieces:
         byte = np.append(np.flatnonzero(lead), len(data))
         h = tv.word_hashes(data, byte[starts], byte[ends])
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) > self.MOST:
+        if len(self.large[0]) + len(self.fresh[0]) > self.MOST:
             self.empty()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        new = first[~known]
+        at, size = self.find(keys)
+        new = np.flatnonzero(at < 0)
         if len(new):
-            found = self.library.encode_batch_fast([text[a:b].decode() for a, b in zip(byte[starts[new]].tolist(), byte[ends[new]].tolist(), strict=True)], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            size = np.array([len(x) for x in ids], np.int64)
-            flat = np.array([i for x in ids for i in x], np.int32)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            spot = place[~known]
-            self.at = np.insert(self.at, spot, self.used + np.cumsum(size) - size)
-            self.size, self.keys = np.insert(self.size, spot, size), np.insert(self.keys, spot, keys[~known])
-            self.used += len(flat)
-            place = np.searchsorted(self.keys, keys)
-        at, size = self.at[place][inverse], self.size[place][inverse]
+            at[new], size[new] = self.learn(keys[new], text, byte[starts[first[new]]], byte[ends[first[new]]])
+        at, size = at[inverse], size[inverse]
         total = np.concatenate([[0], np.cumsum(size)])
         out = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return out, np.diff(total[np.searchsorted(starts, chars)])
 
 
+def merged(a: tuple, b: tuple) -> tuple:
+    """Two tables of columns in order of their first, as one."""
+    spot = np.searchsorted(a[0], b[0])
+    return tuple(np.insert(x, spot, y) for x, y in zip(a, b, strict=True))
+
+
 _made: dict[str, Pieces] = {}
 
 
