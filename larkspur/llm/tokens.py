@@ -159,10 +159,16 @@ def merged(a: tuple, b: tuple) -> tuple:
 _made: dict[str, Pieces] = {}
 
 
+def pieces(path: str) -> Pieces:
+    """The worker's encoder. Named, so that tasks find it by import; a nested function would bring an empty copy of the table."""
+    if path not in _made:
+        _made[path] = Pieces(path)
+    return _made[path]
+
+
 def encoder(path: str | None, end_id: int, carry: list[str], text: str) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = path or default_tokenizer()
-        made = _made.get(place) or _made.setdefault(place, Pieces(place))
+        made = pieces(path or default_tokenizer())
         before = 0
         for batch in batches:
             for part, data, off in tv.chunks(batch, text, tv.CHUNK // 2):
