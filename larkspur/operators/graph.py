@@ -12,8 +12,8 @@ from .vectors import METRICS
 
 
 def visible(df: DataFrame, at: int | Column) -> DataFrame:
-    """Rows valid at a time: valid_from <= at < valid_to, open where null."""
-    return df.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+    """Rows valid at a time: valid_from <= at <= valid_to, open where null."""
+    return df.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= at)))
 
 
 def oriented(edges: DataFrame, direction: str = "OUT", type: str | None = None) -> DataFrame:

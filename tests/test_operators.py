@@ -64,6 +64,8 @@ def test_graph_and_time(spark):
     start = spark.createDataFrame([(1,)], "id long")
     assert {(r.id, r.hops) for r in G.neighbors(e, start, 2).collect()} == {(1, 0), (2, 1), (3, 1)}
     assert {r.id: r.cost for r in G.shortest(e, start, 2).collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
+    n = spark.createDataFrame([(1, 1, 5), (2, 6, None), (3, None, 4)], "id long, valid_from long, valid_to long")
+    assert [sorted(r.id for r in G.visible(n, t).collect()) for t in (4, 5, 6)] == [[1, 3], [1], [2]]
     v = spark.createDataFrame([("k", 1, "a"), ("k", 5, "b")], "key string, valid_from long, value string")
     assert P.as_of(v, 4, ["key"]).first().value == "a"
     left = spark.createDataFrame([("k", 3), ("k", 5), ("z", 1)], "key string, t long")
