@@ -72,13 +72,16 @@ def envelopes(log: DataFrame, keys: list[str], order: str, value: str, time: str
     return e.select(*keys, order, F.to_json(F.struct(F.col("before"), F.col(value).alias("after"), op.alias("op"), F.lit(source).alias("source"), F.col(time).alias("ts_ms"))).alias("event"))
 
 
-def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+def publish(messages: DataFrame, subscriptions: DataFrame, most_globs: int = 200) -> DataFrame:
     """PUBLISH: messages (channel, message) to subscriptions (subscriber, pattern, is_glob); equality first, then globs."""
     from ..functions.strings import glob
 
     exact = messages.join(subscriptions.where("not is_glob"), F.col("channel") == F.col("pattern"))
     out = exact.select("subscriber", "channel", "message")
-    for p in [r.pattern for r in subscriptions.where("is_glob").select("pattern").distinct().limit(10_000).collect()]:
+    globs = [r.pattern for r in subscriptions.where("is_glob").select("pattern").distinct().limit(most_globs + 1).collect()]
+    if len(globs) > most_globs:
+        raise ValueError("split the glob subscriptions")
+    for p in globs:
         hit = messages.where(F.col("channel").rlike(glob(p))).withColumn("pattern", F.lit(p)).join(subscriptions.where("is_glob"), "pattern")
         out = out.unionByName(hit.select("subscriber", "channel", "message"))
     return out
