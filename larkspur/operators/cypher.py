@@ -534,7 +534,14 @@ class Compiler:
             seen = seen.unionByName(now)
         return seen.where(F.col("__d").between(low, high)).select("__a", "__b")
 
-    def walk(self, rows: DataFrame | None, parts: list) -> DataFrame:
+    def ready(self, rows: DataFrame, waiting: list[tuple]) -> DataFrame:
+        """Apply, and take from the list, the conditions whose variables are all bound: searches start from fewer rows."""
+        for part in [x for x in waiting if variables(x) <= set(rows.columns)]:
+            waiting.remove(part)
+            rows = rows.where(self.column(rows, part))
+        return rows
+
+    def walk(self, rows: DataFrame | None, parts: list, waiting: list[tuple]) -> DataFrame:
         name = self.named(parts[0])
         if rows is None:
             rows = self.scan(parts[0], name)
@@ -542,6 +549,7 @@ class Compiler:
             rows = self.check(rows, parts[0], name)
         else:
             rows = rows.join(self.scan(parts[0], name))
+        rows = self.ready(rows, waiting)
         for edge, node in zip(parts[1::2], parts[2::2], strict=True):
             source, target = F.col(f"`{name}`.id"), self.named(node)
             if edge.hops:
@@ -557,14 +565,17 @@ class Compiler:
             else:
                 ends = self.scan(node, target)
                 rows = rows.join(ends, F.col("__b") == F.col(f"`{target}`.id"))
-            rows, name = rows.drop("__b"), target
+            rows, name = self.ready(rows.drop("__b"), waiting), target
         return rows
 
     def match(self, rows: DataFrame | None, c: Clause) -> DataFrame:
         if not c.optional or rows is None:
+            waiting = conjuncts(c.where) if c.where else []
             for parts in c.patterns:
-                rows = self.walk(rows, parts)
-            return self.filter(rows, c.where).drop(*[x for x in rows.columns if x.startswith("__")])
+                rows = self.walk(rows, parts, waiting)
+            for part in waiting:
+                rows = rows.where(self.column(rows, part))  # raises, as a variable is unknown
+            return rows.drop(*[x for x in rows.columns if x.startswith("__")])
         used = {p.var for parts in c.patterns for p in parts if p.var} | (variables(c.where) if c.where else set())
         shared = [x for x in rows.columns if x in used]
         if not shared:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits as B
+from ..functions import sketches as H
 from ..functions import strings as S
 from ..operators import graph as G
 from ..operators import keyed as K
 from ..operators import search as T
 from ..operators import temporal as P
 from ..operators import vectors as V
+from ..operators.cypher import cypher
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -328,3 +331,156 @@ def mq_state(spark, d):
 def cdc_read(spark, d):
     e = table(spark, d, "events").withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
     return P.envelopes(e, ["user_id"], "event_id", "event_type", "ts_ms", "events")
+
+
+# ---- Cypher, over customers and parts
+
+
+def nodes(spark, d) -> DataFrame:
+    none = F.lit(None).cast("double")
+    c = table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("id"), F.array(F.lit("Customer")).alias("labels"), F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), none.alias("price")).alias("props"))
+    p = table(spark, d, "part").select((F.col("p_partkey") * 2 + 1).alias("id"), F.array(F.lit("Part")).alias("labels"), F.struct(F.col("p_name").alias("name"), none.alias("balance"), F.col("p_retailprice").alias("price")).alias("props"))
+    return c.unionByName(p)
+
+
+M = f"{EDGES}, m AS (SELECT src, dst, min(weight) AS w FROM e GROUP BY 1, 2)"
+
+
+@query(f"WITH {M} SELECT c_name AS customer, count(*) AS n, sum(w) AS amount FROM m JOIN customer ON src = c_custkey * 2 JOIN part ON dst = p_partkey * 2 + 1 WHERE w >= 30 AND c_acctbal > 0 GROUP BY c_name")
+def graph_cypher_match(spark, d):
+    return cypher("MATCH (c:Customer)-[r:BOUGHT]->(p:Part) WHERE r.weight >= 30 AND c.balance > 0 RETURN c.name AS customer, count(*) AS n, sum(r.weight) AS amount", nodes(spark, d), edges(spark, d))
+
+
+@query(f"WITH {EDGES}, h1 AS (SELECT DISTINCT b AS id FROM b WHERE a = 2), h2 AS (SELECT DISTINCT b.b AS id FROM h1 JOIN b ON b.a = h1.id WHERE b.b <> 2) SELECT id FROM h1 JOIN (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT p_partkey * 2 + 1 FROM part) USING (id) UNION SELECT id FROM h2 JOIN (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT p_partkey * 2 + 1 FROM part) USING (id)")
+def graph_cypher_var_length(spark, d):
+    return cypher("MATCH (c:Customer)-[:BOUGHT*1..2]-(x) WHERE id(c) = $id RETURN id(x) AS id", nodes(spark, d), edges(spark, d), {"id": 2})
+
+
+@query(f"WITH {M}, q AS (SELECT src, count(*) AS n FROM m JOIN part ON dst = p_partkey * 2 + 1 WHERE p_retailprice > 1500 GROUP BY src) SELECT c_custkey * 2 AS id, coalesce(n, 0) AS n FROM customer LEFT JOIN q ON src = c_custkey * 2")
+def graph_cypher_optional(spark, d):
+    return cypher("MATCH (c:Customer) OPTIONAL MATCH (c)-[:BOUGHT]->(p:Part) WHERE p.price > 1500 RETURN id(c) AS id, count(p) AS n", nodes(spark, d), edges(spark, d))
+
+
+@query(f"WITH {M} SELECT dst AS id, count(*) AS buyers, count(*) // 2 AS half FROM m JOIN customer ON src = c_custkey * 2 JOIN part ON dst = p_partkey * 2 + 1 GROUP BY dst HAVING count(*) > 5 ORDER BY buyers DESC, id LIMIT 20")
+def graph_cypher_with(spark, d):
+    return cypher("MATCH (p:Part)<-[:BOUGHT]-(c:Customer) WITH p, count(*) AS n WHERE n > 5 RETURN id(p) AS id, n AS buyers, n / 2 AS half ORDER BY buyers DESC, id LIMIT 20", nodes(spark, d), edges(spark, d))
+
+
+# ---- bits, sketches, subsequences
+
+
+@query("SELECT c_custkey, lower(substr(c_name, 1, 1)) || substr(c_name, 2) AS flipped FROM customer")
+def bitmap_bitop(spark, d):
+    return table(spark, d, "customer").select("c_custkey", B.bit_op("XOR", F.col("c_name"), F.lit(" ")).cast("string").alias("flipped"))
+
+
+@query("SELECT c_custkey, lower(substr(c_name, 1, 1)) || substr(c_name, 2) AS changed FROM customer")
+def bitmap_setbit(spark, d):
+    return table(spark, d, "customer").select("c_custkey", B.set_bit(F.col("c_name"), 2, 1).cast("string").alias("changed"))
+
+
+@query("SELECT p_partkey, ord(substr(p_name, 2, 1))::BIGINT AS second, (ord(substr(p_name, 3, 1)) + 200) % 256 AS added FROM part")
+def bitmap_bitfield(spark, d):
+    name = F.col("p_name")
+    return table(spark, d, "part").select("p_partkey", B.field_get(name, "u8", 8).alias("second"), B.field_add(name, "u8", 16, F.lit(200)).cast("int").alias("added"))
+
+
+@query("SELECT DISTINCT o_orderstatus, true AS near FROM orders")
+def hll_pfcount(spark, d):
+    o = table(spark, d, "orders").withColumn("part", F.col("o_orderkey") % 8)
+    parts = o.groupBy("o_orderstatus", "part").agg(H.pf_add(F.col("o_custkey")).alias("sketch"))
+    merged = parts.groupBy("o_orderstatus").agg(H.pf_count(H.pf_merge(F.col("sketch"))).alias("estimate"))
+    exact = o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n"))
+    return merged.join(exact, "o_orderstatus").select("o_orderstatus", (F.abs(F.col("estimate") - F.col("n")) <= F.greatest(0.03 * F.col("n"), F.lit(1.0))).alias("near"))
+
+
+@query()
+def string_lcs(spark, d):
+    return table(spark, d, "part").select("p_partkey", B.lcs("p_name", "p_type").alias("common"))
+
+
+# ---- more keyed, stream and search queries
+
+
+@query(f"WITH {ZSETS} SELECT key, member, greatest(score, 25.0) AS score FROM z")
+def zset_zadd_gt(spark, d):
+    z = zsets(spark, d)
+    return K.zadd(z, z.withColumn("score", F.lit(25.0)), gt=True)
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_name >= 'Customer#1' AND c_name < 'Customer#5'")
+def zset_zlexcount(spark, d):
+    return table(spark, d, "customer").where(K.lex_between("[Customer#1", "(Customer#5", "c_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN least(o_custkey, 500) WHEN o_orderkey % 3 = 0 THEN o_custkey WHEN o_orderkey % 2 = 0 THEN 500 END AS expire_at FROM orders")
+def key_expire_lt(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("expire_at"))
+    return K.expire(o, F.col("o_orderkey") % 2 == 0, F.lit(500).cast("long"), "LT")
+
+
+@query("SELECT p_partkey AS value, p_retailprice AS weight FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 15 OFFSET 5")
+def key_sort(spark, d):
+    p = table(spark, d, "part")
+    by = p.select(F.col("p_partkey").alias("value"), F.col("p_retailprice").alias("weight"))
+    return K.sort(p.select(F.col("p_partkey").alias("value")), by=by, desc=True, offset=5, count=15)
+
+
+@query("SELECT o_custkey FROM orders EXCEPT ALL SELECT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def key_del(spark, d):
+    gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return K.delete(table(spark, d, "orders").select("o_custkey"), gone, ["o_custkey"])
+
+
+PEL = "p AS (SELECT user_id % 3 AS \"group\", user_id % 7 AS consumer, event_id AS id_ms FROM events)"
+
+
+@query(f"WITH {PEL} SELECT \"group\", consumer, count(*) AS n, min(id_ms) AS low, max(id_ms) AS high FROM p GROUP BY 1, 2")
+def stream_xpending(spark, d):
+    e = table(spark, d, "events")
+    return P.pending_summary(e.select((F.col("user_id") % 3).alias("group"), (F.col("user_id") % 7).alias("consumer"), F.col("event_id").alias("id_ms")))
+
+
+@query("SELECT event_id AS id_ms, CASE WHEN event_id <= 300 THEN 'new' ELSE 'old' END AS consumer, CASE WHEN event_id <= 300 THEN 2 ELSE 1 END AS deliveries, CASE WHEN event_id <= 300 THEN 500 ELSE event_id END AS delivered_ms FROM events")
+def stream_xclaim(spark, d):
+    pel = table(spark, d, "events").select(F.col("event_id").alias("id_ms"), F.lit("old").alias("consumer"), F.lit(1).alias("deliveries"), F.col("event_id").alias("delivered_ms"))
+    return P.claim(pel, "new", 200, 500).withColumn("delivered_ms", F.col("delivered_ms").cast("long"))
+
+
+@query("SELECT 'a' AS subscriber, event_type AS channel, event_id AS message FROM events WHERE event_type = 'click' UNION ALL SELECT 'b', event_type, event_id FROM events WHERE event_type LIKE 'p%'")
+def pubsub_publish(spark, d):
+    m = table(spark, d, "events").select(F.col("event_type").alias("channel"), F.col("event_id").alias("message"))
+    return P.publish(m, spark.createDataFrame([("a", "click", False), ("b", "p*", True)], "subscriber string, pattern string, is_glob boolean"))
+
+
+@query("SELECT o_orderkey, (SELECT arg_max(e.event_id, e.ts) FROM (SELECT user_id, event_id, epoch_ms(ts) * 1000000 + event_id AS ts FROM events) e WHERE e.user_id = o_custkey AND e.ts <= epoch_ms(o_orderdate) * 1000000) AS event_id FROM orders")
+def temporal_as_of_join(spark, d):
+    at = lambda c: F.unix_millis(F.col(c).cast("timestamp")) * 1000000
+    e = table(spark, d, "events").select("user_id", "event_id", (at("ts") + F.col("event_id")).alias("at"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), at("o_orderdate").alias("at"))
+    return P.as_of_join(o, e, ["user_id"], "at", "at", "event_id").select("o_orderkey", "event_id")
+
+
+COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+@query(f"SELECT e.vec_id, round(1 - {COS}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY 1 - {COS}, e.vec_id LIMIT 10")
+def vector_knn_cosine(spark, d):
+    return V.knn(table(spark, d, "embeddings"), query_vector(spark, d), 10, metric="COSINE").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT e.vec_id FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND {COS} >= 0.2")
+def vector_range(spark, d):
+    return V.within(table(spark, d, "embeddings"), query_vector(spark, d), 0.2, metric="COSINE").select("vec_id")
+
+
+@query("SELECT l_orderkey AS doc_id, sum(l_quantity * CASE l_linenumber WHEN 1 THEN 2.0 WHEN 3 THEN 0.5 END) AS score FROM lineitem WHERE l_linenumber IN (1, 3) GROUP BY 1")
+def vector_sparse(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), "l_linenumber").agg(F.sum("l_quantity").alias("w"))
+    docs = li.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "w"))).alias("weights"))
+    return V.sparse_scores(docs, {1: 2.0, 3: 0.5})
+
+
+@query(f"WITH {WORDS} SELECT doc_id FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'hav'))) > 0 OR len(list_filter(w, lambda x: levenshtein(x, 'from') <= 1)) > 0")
+def ft_search_prefix_fuzzy(spark, d):
+    return table(spark, d, "documents").where(T.condition(T.parse("hav* | %from%"), ["text"])).select("doc_id")
