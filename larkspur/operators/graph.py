@@ -5,7 +5,7 @@ nodes: id, labels, props, embedding, valid_from, valid_to; edges: src, dst, type
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vectors import METRICS
@@ -89,3 +89,62 @@ def navigate(seeds: DataFrame, edges: DataFrame, k: int, hops: int, penalty: flo
         step = now.join(hop, now.id == hop.a).select(F.col("b").alias("id"), (F.col("final") + penalty).alias("final"))
         now = now.unionByName(step).groupBy("id").agg(F.min("final").alias("final"))
     return now.orderBy("final", "id").limit(k)
+
+
+# ---- scores, and search by graph and vector together
+
+
+def decay(age: Column, rate: float) -> Column:
+    return 1.0 / (1.0 + rate * age)
+
+
+def distance_score(weight: Column) -> Column:
+    return 1.0 / (1.0 + F.abs(weight))
+
+
+def composite(time: Column, distance: Column, similarity: Column, weights: tuple[float, float, float]) -> Column:
+    return weights[0] * time + weights[1] * distance + weights[2] * similarity
+
+
+def edge_cost(weight: Column, created_ms: Column, now_ms: int, rate: float, time_weight: float = 1.0) -> Column:
+    """|weight| and a share for the age in seconds; no age where created_ms is 0 or null."""
+    age = F.when(F.coalesce(created_ms, F.lit(0)) > 0, F.greatest((F.lit(now_ms) - created_ms) / 1000.0, F.lit(0.0))).otherwise(0.0)
+    return F.abs(weight) + rate * time_weight * age
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """GRAPH.ADDEDGE: an edge from a node to itself is refused."""
+    return edges.unionByName(new.where("src <> dst"), allowMissingColumns=True)
+
+
+def _similarity(nodes: DataFrame, query: list[float]) -> DataFrame:
+    """(id, similarity): cosine, 0 without an embedding."""
+    q = F.lit([float(x) for x in query])
+    return nodes.select("id", F.when(F.col("embedding").isNotNull(), 1.0 - METRICS["COSINE"](F.col("embedding"), q)).otherwise(0.0).alias("similarity"))
+
+
+def hybrid_expand(nodes: DataFrame, edges: DataFrame, query: list[float], k: int, hops: int) -> DataFrame:
+    """(id, hops): the k most similar nodes and what lies within some hops of them."""
+    top = _similarity(nodes.where("embedding is not null"), query).orderBy(F.col("similarity").desc(), "id").limit(k)
+    return neighbors(edges, top, hops, "BOTH")
+
+
+def hybrid_rerank(nodes: DataFrame, edges: DataFrame, start: DataFrame, candidates: DataFrame, query: list[float], k: int, *, alpha: float = 0.5, hops: int = 3) -> DataFrame:
+    """Candidates (id) by alpha * cosine + (1 - alpha) / (1 + distance); what is out of reach counts one hop more than the last."""
+    far = candidates.select("id").distinct().join(neighbors(edges, start, hops, "BOTH"), "id", "left").join(_similarity(nodes, query), "id")
+    score = alpha * F.col("similarity") + (1 - alpha) / (1 + F.coalesce("hops", F.lit(hops + 1)))
+    return far.select("id", score.alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def hybrid_walk(nodes: DataFrame, edges: DataFrame, start: DataFrame, query: list[float], steps: int, *, beam: int = 5, least: float = 0.0) -> DataFrame:
+    """(id, step, similarity): each step keeps the most similar new neighbours of the last; it ends where the best is below least."""
+    hop, near = oriented(edges, "BOTH"), _similarity(nodes, query)
+    now = start.select("id").distinct().join(near, "id").withColumn("step", F.lit(0))
+    seen = now
+    for s in range(1, steps + 1):
+        new = now.join(hop, now.id == hop.a).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
+        # below the best of a step the rest stays: only a best that is too low ends the walk
+        top = new.join(near, "id").orderBy(F.col("similarity").desc(), "id").limit(beam)
+        now = top.withColumn("_best", F.max("similarity").over(Window.partitionBy())).where(F.col("_best") >= least).select("id", "similarity", F.lit(s).alias("step"))
+        seen = seen.unionByName(now)
+    return seen.select("id", "step", "similarity")

@@ -235,3 +235,43 @@ def zcombine(tables: list[DataFrame], *, weights: list[float] | None = None, agg
 
 def zdiff(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b.select("member"), "member", "left_anti"), rest, first)
+
+
+def zpop(table: DataFrame, count: int, highest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """ZPOPMIN/ZPOPMAX: what is taken from each key, and what stays."""
+    r = ranked(table, highest)
+    return r.where(F.col("rank") < count).drop("rank"), r.where(F.col("rank") >= count).drop("rank")
+
+
+# ---- all or nothing
+
+
+def _unless(changes: DataFrame, conflicts: DataFrame) -> DataFrame:
+    n = conflicts.agg(F.count(F.lit(1)).alias("_conflicts"))  # one row
+    return changes.crossJoin(F.broadcast(n)).where("_conflicts = 0").drop("_conflicts")
+
+
+def set_all_or_none(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """MSETNX: changes are added if none of their keys exists."""
+    return table.unionByName(_unless(changes, table.join(changes.select(*keys), keys, "left_semi")))
+
+
+def commit(table: DataFrame, changes: DataFrame, watched: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
+    """WATCH and EXEC: changes are made if each watched key (with the version seen, null: missing) is still as it was."""
+    now = table.select(*keys, F.col(version).alias("_now"))
+    moved = watched.join(now, keys, "left").where(~F.col(version).eqNullSafe(F.col("_now")))
+    return upsert(table, _unless(changes, moved), keys)
+
+
+def move_member(sets: DataFrame, source: str, target: str, member: str) -> DataFrame:
+    """SMOVE: a member changes its set; nothing happens where the source lacks it."""
+    it = (F.col("key") == source) & (F.col("member") == member)
+    return sets.withColumn("key", F.when(it, F.lit(target)).otherwise(F.col("key"))).distinct()
+
+
+def copy(table: DataFrame, source: str, target: str, replace: bool = False, key: str = "key") -> DataFrame:
+    """COPY: the rows of source again under target, if it is free or replaced; a missing source changes nothing."""
+    rows = table.where(F.col(key) == source).withColumn(key, F.lit(target))
+    if not replace:
+        return table.unionByName(_unless(rows, table.where(F.col(key) == target)))
+    return rows.unionByName(table.where(F.col(key) != target)).unionByName(_unless(table.where(F.col(key) == target), rows))

@@ -34,16 +34,20 @@ def corpus_stats(docs: DataFrame, field: str) -> DataFrame:
 
 
 def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+    return F.size(words) - F.size(F.array_remove(words, term))  # compiled, unlike a lambda
 
 
 def bm25(docs: DataFrame, field: str, terms: list[str], *, id: str = "doc_id", k1: float = K1, b: float = B, weight: float = 1.0) -> DataFrame:
-    """(doc_id, term, score): the terms are counted inside each row, so only matching rows leave the scan."""
+    """(doc_id, term, score): the terms are counted inside each row, so only matching rows leave the scan.
+
+    One pass gives the corpus figures of all terms as one row, a second the scores.
+    """
     w = docs.where(F.col(field).isNotNull()).select(F.col(id).alias("doc_id"), tokens(F.col(field)).alias("w"))
-    hits = w.select("doc_id", F.size("w").alias("dl"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), _count("w", t).alias("tf")) for t in terms])).alias("h"))
-    hits = hits.select("doc_id", "dl", "h.term", "h.tf").where("tf > 0")
-    stats, df = corpus_stats(docs, field), hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row a term, and one row
+    counted = w.select("doc_id", F.size("w").alias("dl"), F.array(*[_count("w", t) for t in terms]).alias("tf"))
+    df = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("dfs"))
+    hits = counted.select("doc_id", "dl", F.posexplode("tf").alias("i", "tf")).where("tf > 0").crossJoin(F.broadcast(stats))  # one row
+    s = hits.select("*", F.get("dfs", F.col("i")).alias("df"), F.get(F.array(*[F.lit(t) for t in terms]), F.col("i")).alias("term"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
     return s.select("doc_id", "term", (weight * score).alias("score"))

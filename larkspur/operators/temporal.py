@@ -85,3 +85,23 @@ def publish(messages: DataFrame, subscriptions: DataFrame, most_globs: int = 200
         hit = messages.where(F.col("channel").rlike(glob(p))).withColumn("pattern", F.lit(p)).join(subscriptions.where("is_glob"), "pattern")
         out = out.unionByName(hit.select("subscriber", "channel", "message"))
     return out
+
+
+def append(stream: DataFrame, entries: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:
+    """XADD with automatic ids: entries (key, id_ms, order) get the next id_seq of their millisecond."""
+    last = stream.groupBy(key, "id_ms").agg(F.max("id_seq").alias("_last"))
+    n = F.row_number().over(Window.partitionBy(key, "id_ms").orderBy(order)).cast("long")
+    new = entries.withColumn("id_seq", n - 1).join(last, [key, "id_ms"], "left")
+    return stream.unionByName(new.withColumn("id_seq", F.col("id_seq") + F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_last", order))
+
+
+def read_group(stream: DataFrame, groups: DataFrame, key: str = "key") -> DataFrame:
+    """XREADGROUP with >: entries after the last id (last_ms, last_seq) a group was given. groups: key, group, last id."""
+    got = stream.join(groups, key)
+    return got.where(F.struct("id_ms", "id_seq") > F.struct("last_ms", "last_seq")).drop("last_ms", "last_seq")
+
+
+def stream_info(stream: DataFrame, key: str = "key") -> DataFrame:
+    """XLEN and XINFO STREAM: the number of entries, first and last id."""
+    at = F.struct("id_ms", "id_seq")
+    return stream.groupBy(key).agg(F.count(F.lit(1)).alias("length"), F.min(at).alias("first"), F.max(at).alias("last"))

@@ -80,3 +80,16 @@ def recommend(vectors: DataFrame, positive: list[int], negative: list[int], k: i
         mean = mean.join(down.groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("y")), "i", "left").select("i", (F.col("x") - 0.5 * F.coalesce("y", F.lit(0.0))).alias("x"))
     query = [r.x for r in mean.orderBy("i").collect()]  # as many rows as dimensions
     return knn(vectors, query, k, metric=metric, vec=vec, id=id, where=~F.col(id).isin([*positive, *negative]))
+
+
+def cache_search(vectors: DataFrame, query: list[float], threshold: float, k: int, *, prefix: str, key: str = "key", metric: str = "L2", id: str = "vec_id") -> DataFrame:
+    """The nearest entry under a key prefix if it is within the threshold, else the k nearest of all; cached tells which."""
+    hit = within(vectors.where(F.col(key).startswith(prefix)), query, threshold, metric=metric).orderBy("distance", id).limit(1)
+    none = hit.agg(F.count(F.lit(1)).alias("_hits"))  # one row
+    rest = knn(vectors, query, k, metric=metric, id=id).crossJoin(F.broadcast(none)).where("_hits = 0").drop("_hits")
+    return hit.withColumn("cached", F.lit(True)).unionByName(rest.withColumn("cached", F.lit(False)))
+
+
+def unseen(results: DataFrame, session: DataFrame, id: str = "doc_id") -> DataFrame:
+    """SESSION: results that the session's table has not returned before; the caller appends them to it."""
+    return results.join(session.select(id), id, "left_anti")
