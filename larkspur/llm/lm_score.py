@@ -1,12 +1,16 @@
 """LM scoring by cross-entropy difference: how much better a target model predicts a document than a background model.
 
-Both are interpolated bigram models over words hashed into one shared vocabulary of ``2**BITS`` slots, with as many
-slots for bigrams: the target's is counted over the documents marked as such, the background's over all documents.
-Each task adds up its own counts and sends those that are not zero; the sums have at most 2 * 2**BITS rows, whatever
-the corpus, and that bounded table is what is broadcast for scoring. No text is shuffled.
-
-Defined results: a null or empty text has no tokens and null losses; without target documents the target model is
-uniform; repeated rows count again and score alike; documents with null ids count for the background and are scored.
+Both are interpolated bigram models over the words themselves, told apart by 64-bit hashes: the target's is counted
+over the documents marked as such, the background's over all documents. What is counted grows with the corpus and
+stays distributed. Words are counted first. Then each word is dealt out to a bucket by its hash, with the hash of its
+bigram and its document, so a bucket has all occurrences of its words and bigrams, counts them and adds up losses by
+document; there are as many buckets as millions of words. The few words with more than a quarter of a bucket's share
+are dealt out by their bigrams instead, and only their counts are broadcast. A word's loss as the context of the next
+word is added where the word is counted, so no bucket asks for counts of another. No text is shuffled.
+
+Defined results: ASCII capitals count as small letters; a null or empty text has no tokens and null losses; without
+target documents the target model is uniform; repeated rows count again and score alike; documents with null ids count
+for the background and are scored.
 """
 
 from __future__ import annotations
@@ -19,105 +23,172 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import own, small, stash
+from .common import own, release, small, stash
 
-BITS = 20
-SLOTS = 1 << BITS
 START = np.uint64(0x5851F42D4C957F2D)
 TRUST = 20.0  # tokens' worth of the unigram model in each bigram context
+BUCKET = 1 << 20  # words in a bucket, on average
+BLOCK = 4 << 20  # bytes of text dealt out together
 
 
-def slots(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word's slot, slot of the word before or -1, bigram's slot, index of each row's first word)."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word's hash, bigram's hash, 1 for a row's first word and 2 for one with a next word, index of each row's first word)."""
     data = tv.FOLD[data]
     starts, ends, first = tv.spans(data, off, tv.PLAIN)
     h = tv.word_hashes(data, starts, ends)
     before = np.empty_like(h)
     before[1:] = h[:-1]
-    heads = first[:-1][np.diff(first) > 0]
+    full = np.diff(first) > 0
+    heads, tails = first[:-1][full], first[1:][full] - 1
     before[heads] = START
-    mask = np.uint64(SLOTS - 1)
-    context = (before & mask).astype(np.int64)
-    context[heads] = -1
-    return (h & mask).astype(np.int64), context, (tv.mix(before * np.uint64(3) + h) & mask).astype(np.int64), first
+    place = np.full(len(h), 2)
+    place[tails] = 0
+    place[heads] += 1
+    return h, tv.mix(before * np.uint64(3) + h), place, first
+
+
+def totals(keys: np.ndarray, *values: np.ndarray) -> tuple:
+    """Distinct keys and the sums of the values of each."""
+    u, at = np.unique(keys, return_inverse=True)
+    return u, *[np.bincount(at.reshape(-1), v, len(u)) for v in values]
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (text, target) in; (slot, target, background) out, bigrams behind words, -1 for documents."""
-    sums, docs = np.zeros((2, 2 * SLOTS), np.int64), np.zeros(2, np.int64)
+    """For mapInArrow: (text, target) in; (word, target, background) out, the numbers of documents with word null."""
     for batch in batches:
-        for part, data, off in tv.chunks(batch, "text"):
-            word, _, pair, first = slots(data, off)
+        for part, data, off in tv.chunks(batch, "text", BLOCK):
+            word, _, _, first = tokens(data, off)
+            n = np.diff(first)
             target = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            chosen = np.repeat(target, np.diff(first))
-            full = np.diff(first) > 0
-            docs += [int((full & target).sum()), int(full.sum())]
-            for k, (w, p) in enumerate(((word[chosen], pair[chosen]), (word, pair))):
-                sums[k] += np.bincount(np.concatenate([w, p + SLOTS]), minlength=2 * SLOTS)
-    seen = np.flatnonzero(sums[1])
-    for i in range(0, len(seen), 1 << 16):
-        s = seen[i : i + (1 << 16)]
-        yield pa.record_batch([pa.array(s.astype(np.int32)), pa.array(sums[0][s]), pa.array(sums[1][s])], names=["slot", "target", "background"])
-    yield pa.record_batch([pa.array([-1], pa.int32()), pa.array(docs[:1]), pa.array(docs[1:])], names=["slot", "target", "background"])
-
+            u, t, b = totals(word, np.repeat(target, n).astype(float), np.ones(len(word)))
+            docs = np.array([((n > 0) & target).sum(), (n > 0).sum()])
+            columns = [pa.array(np.append(u.view(np.int64), 0), mask=np.arange(len(u) + 1) == len(u)), *(pa.array(np.append(x, d).astype(np.int64)) for x, d in zip((t, b), docs, strict=True))]
+            yield pa.record_batch(columns, names=["word", "target", "background"])
 
-class Model:
-    """Bigram probabilities from counts of words and bigrams by slot and the number of documents."""
 
-    def __init__(self, counts: np.ndarray, docs: int):
-        self.words, self.pairs, self.docs = counts[:SLOTS], counts[SLOTS:], docs
-        self.total = float(self.words.sum())
+def deal(buckets: int, hot: np.ndarray):
+    """The function for mapInArrow: (text, target, key) in; blocks of words out, sorted by word and bigram in each."""
 
-    def losses(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        single = (self.words[word] + 1.0) / (self.total + SLOTS)
-        held = np.where(context < 0, self.docs, self.words[context])
-        return -np.log((self.pairs[pair] + TRUST * single) / (np.maximum(held, self.pairs[pair]) + TRUST))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in tv.chunks(batch, "text", BLOCK):
+                word, pair, place, first = tokens(data, off)
+                if not len(word):
+                    continue
+                doc = np.repeat(np.arange(len(part)), np.diff(first))
+                place = place + 4 * part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+                key = part.column(2).to_numpy()
+                bucket = (tv.mix(np.where(np.isin(word, hot), pair, word) + START) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((pair, word, bucket))
+                bucket, word, pair, doc, place = (x[order] for x in (bucket, word, pair, doc, place))
+                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+                out = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    w, p = word[a:b], pair[a:b]
+                    new_p = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])]))
+                    w = w[new_p]
+                    new_w = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                    held, local = np.unique(doc[a:b], return_inverse=True)
+                    numbers = [np.diff(np.append(new_w, len(w))), np.diff(np.append(new_p, b - a)), local.reshape(-1) * 8 + place[a:b]]
+                    out.append([w[new_w].tobytes(), p[new_p].tobytes(), key[held].tobytes(), *(x.astype(np.uint32).tobytes() for x in numbers)])
+                yield pa.record_batch([pa.array(bucket[cuts[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["bucket", *BLOCKS])
+
+    return tv.lean(rows)
+
+
+BLOCKS = {"words": np.uint64, "pairs": np.uint64, "keys": np.int64, "n_pairs": np.uint32, "n_words": np.uint32, "places": np.uint32}
+
+
+def losses(blocks: list[tuple], hot: tuple, number: list[tuple[int, int]], vocabulary: int) -> tuple:
+    """(key of a document, words, target loss, background loss), sums over a whole bucket."""
+    words, pairs, keys, n_pairs, n_words, places = (np.concatenate([np.frombuffer(b[i], t) for b in blocks]) for i, t in enumerate(BLOCKS.values()))
+    sizes = [len(b[5]) // 4 for b in blocks]
+    docs = np.cumsum([0, *[len(b[2]) // 8 for b in blocks]])[:-1]
+    doc, place = (places >> 3) + np.repeat(docs, sizes), places & 7
+    run = np.repeat(np.arange(len(pairs)), n_words)
+    seen = (np.bincount(run, place >> 2, len(pairs)), n_words.astype(float))
+    _, which = np.unique(pairs, return_inverse=True)
+    held, whose = np.unique(np.repeat(words, n_pairs), return_inverse=True)
+    which, whose = which.reshape(-1), whose.reshape(-1)
+    at = np.minimum(np.searchsorted(hot[0], held), max(len(hot[0]) - 1, 0))
+    spread = hot[0][at] == held if len(hot[0]) else np.zeros(len(held), bool)
+    sums = []
+    for k, (total, n_docs) in enumerate(number):
+        pair = np.bincount(which, seen[k])[which]
+        word = np.bincount(whose, seen[k])
+        word[spread] = hot[k + 1][at[spread]] if spread.any() else 0
+        word = word[whose]
+        loss = -np.log(pair + TRUST * (word + 1.0) / (total + vocabulary))
+        sums.append(loss[run] + np.where(place & 2, np.log(word + TRUST)[run], 0.0) + np.where(place & 1, np.log(n_docs + TRUST), 0.0))
+    return totals(keys[doc], np.ones(len(doc)), *sums)
+
+
+def score(told):
+    """The function for mapInArrow: blocks sorted by bucket in; sums of documents out."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, done, size = None, [], [], 0
 
-def score(tables, carry: list[str]):
-    """The function for mapInArrow that puts losses in place of the text; tables is broadcast."""
-    made: list[Model] = []
+        def flush() -> Iterator[pa.RecordBatch]:
+            if done:
+                key, n, *sums = totals(*(np.concatenate(x) for x in zip(*done, strict=True)))
+                for i in range(0, len(key), 1 << 16):
+                    s = slice(i, i + (1 << 16))
+                    yield pa.record_batch([pa.array(key[s]), pa.array(n[s].astype(np.int64)), *(pa.array(x[s]) for x in sums)], names=["key", "n", "target", "background"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            counts, docs = tables.value
-            made.extend(Model(c, d) for c, d in zip(counts, docs, strict=True))
         for batch in batches:
-            for part, data, off in tv.chunks(batch, "text"):
-                word, context, pair, first = slots(data, off)
-                n = np.diff(first)
-                means = []
-                for m in made:
-                    total = np.concatenate([[0.0], np.cumsum(m.losses(word, context, pair))])
-                    sums = total[first[1:]] - total[first[:-1]]
-                    means.append(pa.array(sums / np.maximum(n, 1), mask=n == 0))
-                columns = [part.column(part.schema.get_field_index(c)) for c in carry]
-                yield pa.record_batch([*columns, pa.array(n, pa.int64()), *means], names=[*carry, "n_tokens", "target_loss", "background_loss"])
-
-    return rows
+            for bucket, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if blocks:
+                        done.append(losses(blocks, *told.value))
+                        size += len(done[-1][0])
+                        if size > 2_000_000:
+                            yield from flush()
+                            done, size = [], 0
+                    now, blocks = bucket, []
+                blocks.append(block)
+        if blocks:
+            done.append(losses(blocks, *told.value))
+        yield from flush()
+
+    return tv.lean(rows)
+
+
+def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (doc_id, text, key) in; doc_id, key and the number of words out."""
+    for batch in batches:
+        for part, data, off in tv.chunks(batch, "text"):
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(np.diff(tv.spans(data, off, tv.PLAIN)[2]), pa.int64())], names=["doc_id", "key", "n_tokens"])
 
 
-def lm_scores(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_words: int = BUCKET) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and score, their difference: low is target-like.
 
     target_ids: one column, the ids of the target documents.
     """
     spark = docs.sparkSession
-    base = own(docs, doc_id, text).toDF("doc_id", "text")
+    base = own(docs, doc_id, text).toDF("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))  # equal rows have equal keys, and equal losses
     marked = target_ids.toDF("_target").where("_target is not null").distinct()
-    told = base.join(small(marked), F.col("doc_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("target"))
-    sums = stash(told.mapInArrow(count, "slot int, target long, background long").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "counts")
-    counts, number = np.zeros((2, 2 * SLOTS), np.float32), [0, 0]
-    for batch in sums.toArrow().to_batches():  # at most 2 * SLOTS + 1 rows
-        slot = batch.column(0).to_numpy()
-        for k in (0, 1):
-            values = batch.column(k + 1).to_numpy()
-            counts[k][slot[slot >= 0]] = values[slot >= 0]
-            number[k] += int(values[slot < 0].sum())
-    tables = spark.sparkContext.broadcast((counts, number))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    found = base.mapInArrow(score(tables, ["doc_id"]), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
-    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    told = base.join(small(marked), F.col("doc_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("target"), "key")
+    sums = [F.sum(k).alias(k) for k in ("target", "background")]
+    words = stash(told.select("text", "target").mapInArrow(tv.lean(count), "word long, target long, background long").groupBy("word").agg(*sums), "words")
+    total = {r.docs: r for r in words.groupBy(F.col("word").isNull().alias("docs")).agg(*sums, F.count(F.lit(1)).alias("n")).collect()}
+    number = [tuple(int(total[docs][k]) if docs in total else 0 for docs in (False, True)) for k in ("target", "background")]
+    vocabulary = total[False].n if False in total else 1
+    buckets = -(-number[1][0] // bucket_words) or 1
+    hot = words.where(F.col("word").isNotNull() & (F.col("background") * (4 * buckets) > number[1][0])).toArrow()  # at most 4 * buckets rows
+    hot = [hot.column(i).to_numpy() for i in range(3)]
+    order = np.argsort(hot[0].astype(np.int64).view(np.uint64))
+    hot = (hot[0].astype(np.int64).view(np.uint64)[order], hot[1][order], hot[2][order])
+    release(words)
+    schema = ", ".join(["bucket int", *(f"{b} binary" for b in BLOCKS)])
+    blocks = told.mapInArrow(deal(buckets, hot[0]), schema).repartition("bucket").sortWithinPartitions("bucket")
+    parts = blocks.mapInArrow(score(spark.sparkContext.broadcast((hot, number, vocabulary))), "key long, n long, target double, background double")
+    found = stash(parts.groupBy("key").agg(F.sum("n").alias("n"), *sums), "losses")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    all_docs = base.mapInArrow(lengths, f"doc_id {kind}, key long, n_tokens long").join(found, "key", "left")
+    out = all_docs.select("doc_id", "n_tokens", *((F.col(k) / F.col("n")).alias(f"{k}_loss") for k in ("target", "background")))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
