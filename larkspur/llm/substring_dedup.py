@@ -142,16 +142,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     place = F.struct("doc_id", "low")
     first = stash(found.groupBy("seed", "extent").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "extents")
     again = first.where("n > 1").select("seed", "extent", "first")
-    whole = stash(found.join(again, ["seed", "extent"]).where(~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", "more"), "whole")
+    whole = stash(found.join(again, ["seed", "extent"]).where(F.col("doc_id").isNotNull() & ~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", "more"), "whole")
     release(found)
     # seeds in several extents: extend word by word, for the first place of each extent
     several = first.groupBy("seed").agg(F.count(F.lit(1)).alias("extents")).where("extents > 1").select("seed")
-    lows = stash(first.join(several, "seed", "left_semi").select("first.doc_id", "first.low").groupBy("doc_id").agg(F.collect_list("low").alias("lows")), "lows")
-    release(first)
-    single = stash(docs.join(lows, "doc_id").select("doc_id", "text", "lows").mapInArrow(windows(length, seed), f"seed long, win long, doc_id {kind}, low long"), "windows")
-    release(lows)
+    lows = stash(first.join(several, "seed", "left_semi").select("first.doc_id", "first.low").where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("low").alias("lows")), "lows")
+    # texts without ids are told apart by their own hashes, and all their places are extended: none of them is removed
+    nameless = docs.where("doc_id is null").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    theirs = nameless.mapInArrow(anchors(length, seed), "seed long, extent long, doc_id long, low long, more int").join(several, "seed", "left_semi")
+    theirs = nameless.join(theirs.groupBy("doc_id").agg(F.collect_list("low").alias("lows")), "doc_id").select("doc_id", "text", "lows")
+    theirs = theirs.mapInArrow(windows(length, seed), "seed long, win long, doc_id long, low long").select("seed", "win", F.lit(None).cast(kind).alias("doc_id"), "low")
+    named = docs.join(lows, "doc_id").select("doc_id", "text", "lows").mapInArrow(windows(length, seed), f"seed long, win long, doc_id {kind}, low long")
+    single = stash(named.unionByName(theirs), "windows")
+    release(first, lows)
     least = stash(single.groupBy("seed", "win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "win", "first"), "firsts")
-    part = stash(single.join(least, ["seed", "win"]).where(~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", F.lit(0).alias("more")), "part")
+    part = stash(single.join(least, ["seed", "win"]).where(F.col("doc_id").isNotNull() & ~(place.eqNullSafe(F.col("first")))).select("doc_id", "low", F.lit(0).alias("more")), "part")
     release(single, least)
     return whole.unionByName(part)
 
