@@ -184,11 +184,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     return docs.mapInArrow(matcher(blocks, width, text, places, [f.name for f in docs.schema if f.name in carry]), schema)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", share: int = 20, **options) -> DataFrame:
-    """docs without those of which at least one word in ``share`` lies in a benchmark passage."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", share: int | None = None, **options) -> DataFrame:
+    """docs without those that hold a benchmark window anywhere; with ``share``, only if one word in so many lies in windows.
+
+    An item of fewer than ``width`` words is a window, so a very short item removes every document that has its words in a row.
+    """
     flat, text = numbered(docs, text)
     found = find_matches(flat, benchmark, text=text, places=False, **options)
-    return found.where(~((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))).select(*flat.columns).toDF(*docs.columns)
+    gone = F.col("n_hit") > 0
+    if share is not None:
+        gone &= share * F.col("n_hit") >= F.col("n_words")
+    return found.where(~gone).select(*flat.columns).toDF(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
