@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def anchors(length: int, seed: int):
                     names=["seed", "extent", "doc_id", "low", "more"],
                 )
 
-    return rows
+    return tv.lean(rows)
 
 
 def windows(length: int, seed: int):
@@ -103,11 +104,11 @@ def windows(length: int, seed: int):
                     names=["seed", "win", "doc_id", "low"],
                 )
 
-    return rows
+    return tv.lean(rows)
 
 
 def cut(length: int, digest: bool):
-    """The function for mapInArrow: (doc_id, text, packed spans) in; what is left of the text out."""
+    """The function for mapInArrow: (doc_id, text, spans) in; what is left of the text out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -115,13 +116,13 @@ def cut(length: int, digest: bool):
         for batch in batches:
             for part, data, off in tv.chunks(batch, "text"):
                 starts, ends, first = tv.spans(data, off, tv.PLAIN)
-                n, packed = np.diff(first), part.column(2)
+                n, spans = np.diff(first), part.column(2)
                 gone = np.zeros(len(starts) + 1, np.int64)
-                counts = np.array([len(x) if x.is_valid else 0 for x in packed], np.int64)
-                spans = packed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                low = np.repeat(first[:-1], counts) + (spans >> 8)
+                counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                low, more = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans.flatten().flatten())
+                low += np.repeat(first[:-1], counts)
                 np.add.at(gone, low, 1)
-                np.add.at(gone, low + (spans & 255) + length, -1)
+                np.add.at(gone, low + more + length, -1)
                 kept = np.cumsum(gone)[:-1] == 0
                 texts = []
                 sofar = np.concatenate([[0], np.cumsum(kept)])[first]
@@ -132,7 +133,7 @@ def cut(length: int, digest: bool):
                     texts.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(n - np.diff(sofar), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows
+    return tv.lean(rows)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -166,8 +167,7 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     docs = own(docs, doc_id, text).toDF("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(docs, length, seed)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.col("low") * 256 + F.col("more")).alias("spans"))
-    # packed: the first word times 256 plus the windows that follow, of which an anchor has fewer than length
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut(length, digest), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

@@ -13,8 +13,10 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 CHUNK = 1 << 20
+LONG = 32
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so both can be inverted
 
 
@@ -120,10 +122,20 @@ def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word.
+
+    Polynomials modulo 2**64 are equal for some pairs of long regular words whatever the base (a Thue-Morse word of a
+    thousand letters and its complement), so words of more than LONG bytes are hashed one by one by XXH3.
+    """
     up, down = _bytes.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        held = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxh3_64_intdigest(held[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 class Runs:

@@ -40,11 +40,13 @@ def default_tokenizer() -> str:
 class Pieces:
     """Encodes texts piece by piece, with a bounded cache of the pieces' ids.
 
-    The cache is two sorted tables of (key, place in the pool, number of ids): new pieces enter the small one, which
-    is merged into the large one from time to time, so that a chunk does not copy all that is held.
+    The cache is two sorted tables of (key, place in the pool, number of ids, place among the held bytes, number of
+    bytes): new pieces enter the small one, which is merged into the large one from time to time, so that a chunk does
+    not copy all that is held. Keys are hashes, so the bytes of each piece are compared with those its ids were made
+    of; a chunk in which any differ is encoded whole by the library.
     """
 
-    MOST = 1_000_000
+    MOST, MOST_BYTES = 1_000_000, 32 << 20
     AT_ONCE = 4096
 
     def __init__(self, path: str):
@@ -57,9 +59,10 @@ class Pieces:
         self.empty()
 
     def empty(self) -> None:
-        none = (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32))
+        none = (np.empty(0, np.uint64), *(np.empty(0, np.int32) for _ in range(4)))
         self.large, self.fresh = none, none
         self.pool, self.used = np.empty(1 << 16, np.int32), 0
+        self.held, self.n_held = np.empty(1 << 16, np.uint8), 0
 
     def ask(self, points: np.ndarray) -> None:
         """Learn the classes of code points from how the library splits them."""
@@ -97,59 +100,81 @@ class Pieces:
             edge[quote[found] + 1 + len(e)] = True
         return np.flatnonzero(edge[:n])
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the pool and number of ids of each key, -1 and 0 for unknown ones."""
-        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for held, where, many in (self.large, self.fresh):
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The other columns of each key's row, -1 and zeros for unknown ones."""
+        out = tuple(np.full(len(keys), k, np.int64) for k in (-1, 0, 0, 0))
+        for held, *columns in (self.large, self.fresh):
             if len(held):
                 k = np.minimum(np.searchsorted(held, keys), len(held) - 1)
                 hit = held[k] == keys
-                at[hit], size[hit] = where[k[hit]], many[k[hit]]
-        return at, size
+                for x, column in zip(out, columns, strict=True):
+                    x[hit] = column[k[hit]]
+        return out
 
     def learn(self, keys: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encode the pieces of sorted new keys and hold their ids; where these are and how many."""
-        pieces = [text[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        """Encode the pieces of sorted new keys and hold their ids and bytes; where the ids are and how many."""
+        raw = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        pieces = [x.decode() for x in raw]
         ids = [x.ids for i in range(0, len(pieces), self.AT_ONCE) for x in self.library.encode_batch_fast(pieces[i : i + self.AT_ONCE], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        at = self.used + np.cumsum(size) - size
+        size, long = np.array([len(x) for x in ids], np.int64), ends - starts
+        at, spot = self.used + np.cumsum(size) - size, self.n_held + np.cumsum(long) - long
         self.used += int(size.sum())
-        while self.used > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.n_held += int(long.sum())
+        self.pool, self.held = grown(self.pool, self.used), grown(self.held, self.n_held)
         self.pool[at[0] : self.used] = [i for x in ids for i in x]
-        self.fresh = merged(self.fresh, (keys, at.astype(np.int32), size.astype(np.int32)))
+        self.held[spot[0] : self.n_held] = np.frombuffer(b"".join(raw), np.uint8)
+        self.fresh = merged(self.fresh, (keys, *(x.astype(np.int32) for x in (at, size, spot, long))))
         if len(self.fresh[0]) > len(self.large[0]) // 8:
             self.large, self.fresh = merged(self.large, self.fresh), tuple(x[:0] for x in self.fresh)
         return at, size
 
+    def whole(self, text: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts by the library alone."""
+        ids = [self.library.encode(text[a:b].decode(), add_special_tokens=False).ids for a, b in zip(off[:-1], off[1:], strict=True)]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
         if not len(data):
             return np.empty(0, np.int32), np.zeros(len(off) - 1, np.int64)
         text = data.tobytes()
         if any(t.encode() in text for t in self.added):
-            ids = [self.library.encode(text[a:b].decode(), add_special_tokens=False).ids for a, b in zip(off[:-1], off[1:], strict=True)]
-            return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+            return self.whole(text, off)
         points = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
         lead = (data & 0xC0) != 0x80
         chars = np.concatenate([[0], np.cumsum(lead)])[off]
         starts = self.bounds(points, chars)
         ends = np.append(starts[1:], len(points))
         byte = np.append(np.flatnonzero(lead), len(data))
-        h = tv.word_hashes(data, byte[starts], byte[ends])
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.large[0]) + len(self.fresh[0]) > self.MOST:
+        low, high = byte[starts], byte[ends]
+        keys, first, inverse = np.unique(tv.word_hashes(data, low, high), return_index=True, return_inverse=True)
+        long = high - low
+        if (long != long[first][inverse]).any() or (data != data[np.arange(len(data)) + np.repeat(low[first][inverse] - low, long)]).any():
+            return self.whole(text, off)
+        if len(self.large[0]) + len(self.fresh[0]) > self.MOST or self.n_held > self.MOST_BYTES:
             self.empty()
-        at, size = self.find(keys)
-        new = np.flatnonzero(at < 0)
+        at, size, spot, known = self.find(keys)
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        low, high, long = low[first], high[first], long[first]
+        if (long[old] != known[old]).any():
+            return self.whole(text, off)
+        before = np.repeat(np.cumsum(long[old]) - long[old], long[old])
+        step = np.arange(len(before)) - before
+        if (data[np.repeat(low[old], long[old]) + step] != self.held[np.repeat(spot[old], long[old]) + step]).any():
+            return self.whole(text, off)
         if len(new):
-            at[new], size[new] = self.learn(keys[new], text, byte[starts[first[new]]], byte[ends[first[new]]])
+            at[new], size[new] = self.learn(keys[new], text, low[new], high[new])
         at, size = at[inverse], size[inverse]
         total = np.concatenate([[0], np.cumsum(size)])
         out = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return out, np.diff(total[np.searchsorted(starts, chars)])
 
 
+def grown(pool: np.ndarray, n: int) -> np.ndarray:
+    """A copy of the pool with room for n entries, or the pool itself."""
+    return pool if n <= len(pool) else np.concatenate([pool, np.empty(max(n, 2 * len(pool)) - len(pool), pool.dtype)])
+
+
 def merged(a: tuple, b: tuple) -> tuple:
     """Two tables of columns in order of their first, as one."""
     spot = np.searchsorted(a[0], b[0])

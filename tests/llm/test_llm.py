@@ -13,6 +13,8 @@ from larkspur.llm import chat, decontam, lm_score, mixing, pii, quality, simhash
 SF = "/root/testdata/sf0.001"
 PLAIN = r"[^\x20\x09-\x0D]+"
 ODD = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \t\n"), (10**6 + 3, "one"), (10**6 + 4, "a b a b a b " * 400), (10**6 + 5, "a b a b a b " * 400), (10**6 + 6, "é𝒳 +1 (743) 555-3824 a@b.co 1.2.3.4 4111 1111 1111 1111 " * 50)]
+TM = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(n)) for n in (1024, 2048, 8192) for flip in (0, 1)]  # pairs of equal polynomial hashes
+ODD += [(10**6 + 10 + k, " ".join(f"w{i}" for i in range(19)) + " " + t) for k, t in enumerate(TM)] + [(10**6 + 20 + k, t) for k, t in enumerate(TM)]
 COLUMNS = "doc_id long, text string, source string, `n_words x` int"
 
 
