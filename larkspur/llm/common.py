@@ -80,6 +80,16 @@ def numbered(df: DataFrame, *names: str) -> tuple:
     return df.toDF(*[f"_c{i}" for i in range(len(kept))]), *[f"_c{kept.index(n)}" for n in names]
 
 
+def free_names(taken: list[str], names: list[str]) -> list[str]:
+    """The names for new columns: one that is taken gets underscores until it is free, so the caller's columns stay."""
+    out = []
+    for n in names:
+        while n in taken or n in out:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, resolved by position so that further columns with clashing names do no harm."""
     kept = df.columns

@@ -2,11 +2,14 @@
 
 A rule votes 1 (good), -1 (bad) or 0 (abstains). Documents with equal votes are alike, so the corpus is aggregated to
 the counts of vote patterns, at most 3**rules rows; expectation-maximisation over these estimates how each rule votes
-on good and on bad documents, and gives each pattern's posterior. A document keeps its pattern's verdict.
+on good and on bad documents, and gives each pattern's posterior. A document keeps its pattern's verdict, so one that
+a single noisy rule votes against can stay.
 
-Features and votes are column expressions over the text alone; nothing but pattern counts is shuffled.
+Features and votes are column expressions over the text alone, evaluated once and written with the columns that go on;
+nothing but pattern counts is shuffled.
 
-Defined results: a null text has no words and fails; ties and repeated rows do not matter; an empty table gives none.
+Defined results: a null text has no words and fails; ties and repeated rows do not matter; an empty table gives none;
+a new column whose name docs already has gets an underscore after its name.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, words
+from .common import free_names, numbered, stash, words
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_marks")
 
@@ -81,31 +84,35 @@ def votes() -> dict[str, Column]:
         "lines": low(F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)), 0.1, 0.3),
         "repeats": low(F.col("n_repeat_words") / n, 0.2, 0.5),
         "shouts": low(F.col("n_shouts") / n, 0.02, 0.1),
-        "marks": low(F.col("n_marks") / n, 0.3, 0.6),
+        "marks": low(F.col("n_marks") / n, 0.3, 0.5),
     }
 
 
-def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 100, prior_good: float = 0.8, strength: float = 0.2) -> tuple[list[dict[int, tuple[float, float]]], float]:
+#: What ``PRIOR`` documents of each class are taken to have said before any is seen: (on good, on bad) by vote.
+PRIOR, SAID = 10.0, {1: (0.8, 0.5), -1: (0.1, 0.4)}
+
+
+def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 1000, prior_good: float = 0.8, prior: float = PRIOR) -> tuple[list[dict[int, tuple[float, float]]], float]:
     """EM over vote patterns: for each rule and vote (P(vote | good), P(vote | bad)) where it votes, and P(good).
 
-    Abstaining says nothing. Pseudo-counts of ``strength`` times the documents hold what makes a rule a rule: it
-    seldom votes against a good document, while a bad one fails some rule, not each. They keep the classes from being
-    exchanged or from splitting the corpus by something else; the estimates move from there to the data.
+    Abstaining says nothing. It begins at the share of good votes in a pattern; the prior of a few documents only tells
+    which class is the good one, so accuracies come from the data: a rule that disagrees with the others is learnt to
+    be noisy and can be outvoted.
     """
     n_rules = len(next(iter(counts), ()))
     total, rules, good = sum(counts.values()), [], prior_good
-    belief = {p: 0.05 if -1 in p else 0.95 for p in counts}
+    belief = {p: (1 + p.count(1)) / (2 + p.count(1) + p.count(-1)) for p in counts}
     for _ in range(rounds):
         rules = []
         for r in range(n_rules):
-            seen = {v: [strength * total * s for s in split] for v, split in ((1, (0.998, 0.7)), (-1, (0.002, 0.3)))}
+            seen = {v: [prior * s for s in said] for v, said in SAID.items()}
             for p, c in counts.items():
                 if p[r]:
                     seen[p[r]][0] += c * belief[p]
                     seen[p[r]][1] += c * (1 - belief[p])
             sums = [sum(x[k] for x in seen.values()) for k in (0, 1)]
             rules.append({v: (x[0] / sums[0], x[1] / sums[1]) for v, x in seen.items()} | {0: (1.0, 1.0)})
-        good = sum(c * belief[p] for p, c in counts.items()) / (total * (1 + strength)) + prior_good * strength / (1 + strength)
+        good = (sum(c * belief[p] for p, c in counts.items()) + prior * prior_good) / (total + prior)
         new = {p: posterior(p, rules, good) for p in counts}
         change = max((abs(new[p] - belief[p]) for p in counts), default=0)
         belief = new
@@ -119,19 +126,25 @@ def posterior(pattern: tuple[int, ...], rules: list[dict[int, tuple[float, float
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def score_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with FEATURES, base_failed, quality (the posterior) and kept."""
+def score_quality(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (all) with n_words to n_marks, base_failed, quality (the posterior) and kept."""
+    flat, at = numbered(docs, text)
+    carried = [f"_c{docs.columns.index(c)}" for c in (docs.columns if carry is None else carry)]
     rules = votes()
-    made = with_features(docs, text)
-    held = made.select(F.array(*rules.values()).alias("v")).groupBy("v").count().collect()  # at most 3**rules rows
+    made = with_features(flat, at).select(*carried, *FEATURES, F.array(*[v.cast("byte") for v in rules.values()]).alias("v"))
+    made = stash(made, "votes")
+    held = made.groupBy("v").count().collect()  # at most 3**rules rows
     fitted, good = fit_votes({tuple(r.v): r["count"] for r in held}) if held else ([], 0.5)
     odds = F.lit(math.log(good / (1 - good)))
-    for vote, table in zip(rules.values(), fitted, strict=False):
+    for r, table in enumerate(fitted):
         part = {v: math.log(a / b) for v, (a, b) in table.items()}
+        vote = F.get("v", F.lit(r))
         odds = odds + F.when(vote == 1, part[1]).when(vote == -1, part[-1]).otherwise(part[0])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     made = made.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
-    return made.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop("_words", "_lines", "_n_lines")
+    made = made.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop("v")
+    names = docs.columns if carry is None else list(carry)
+    return made.toDF(*names, *free_names(names, [*FEATURES, "base_failed", "quality", "kept"]))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -141,5 +154,5 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    found = score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), carry=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
