@@ -5,40 +5,55 @@ its features are made by the same column expression as those of the pages and co
 Scoring is one expression over the url alone; no page is shuffled and no other column is read.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-model's bias; repeated rows are judged alike; without labelled rows the model allows all; an empty table gives none.
+model's bias; repeated rows are judged alike; without labelled rows the model allows all; an empty table gives none;
+a new column whose name pages already has gets an underscore after its name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import free_names, lower_ascii, numbered
+from .quality import let
 
-SLOTS, SIZES = 2048, (3, 4)
+SLOTS, SIZES = 4096, (3, 4)
 MOST_LABELLED = 5000
 #: The production rules, as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words of hosts and paths that stand for unwanted and for wanted sites in the labelled table.
-UNWANTED = ("cheap-pills", "free-bets", "casino-bonus", "win-cash-now", "hot-singles", "payday-loans", "replica-watches", "adult-cams", "poker-online", "buy-followers", "miracle-diet", "free-ringtones", "crack-serial", "torrent-keygen", "sexy-chat", "slots-jackpot")
-WANTED = ("library", "weather", "university", "recipes", "gardening", "history", "science", "museum", "news", "travel", "music", "health", "school", "research", "cooking", "sports")
-
-#: Frequent groups of letters, which make up neutral hosts.
-LETTERS = ("the", "tion", "her", "an", "on", "ing", "re", "th", "en", "or", "st", "wh", "ble", "nd", "es", "ti", "at", "ou", "ha", "ly")
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: (url, label), 1 for block."""
-    rows = []
-    for k, (bad, good) in enumerate(zip(UNWANTED, WANTED, strict=True)):
-        for i, (sub, end) in enumerate((("www.", "com"), ("blog.", "net"), ("m.", "org"), ("", "com"))):
-            path = f"/{('en', 'fr', 'de', 'es')[i]}/{37 * k + i}"  # the same for both, so that it tells nothing
-            rows += [(f"https://{sub}{bad}.example.{end}{path}", 1), (f"http://{sub}{good}.example.{end}{path}", 0)]
-            rows += [(f"http://{sub}{LETTERS[k % len(LETTERS)]}{x}.example.{end}{path}", 0) for x in LETTERS[i::4]]
-    return spark.createDataFrame(rows, "url string, label int")
+#: Words of hosts and paths of unwanted sites, and words of others, in four languages; the labelled table is combined from them.
+UNWANTED = "casino poker bet bets slots jackpot roulette bingo lottery win winner prize bonus spins pills viagra cialis pharma cheap discount loans payday cash credit replica watches xxx porn adult cams sexy nude dating singles escort torrent warez crack keygen followers likes forex crypto miracle diet free hot now".split()
+WANTED = "library weather university recipes garden history science museum news travel music health school research cooking sports bank post shop market city council hospital theatre film books review journal archive wiki forum help support docs code data maps train flight hotel family kids church energy water law jobs art photo nature animals farm wetter schule verein rathaus zeitung musee mairie journaux cuisine ecole noticias ayuntamiento escuela cocina".split()
+PAGES = "about contact article articles products category index search team events help faq archive tag blog post download user".split()
+
+
+def labelled_urls(spark: SparkSession, rows: int = 900, part: int | None = None, parts: int = 5) -> DataFrame:
+    """The small labelled table: (url, label), 1 for block; one in three is. part: only rows of one of so many parts.
+
+    A row's choices are the digits of a hash of its number: scheme, subdomain, one or two words, ending, and a path
+    with a word of the same class, a neutral page, a number or nothing.
+    """
+    made = []
+    for k in range(rows):
+        if part is not None and k % parts != part:
+            continue
+        h = int.from_bytes(hashlib.sha256(f"url {k}".encode()).digest()[:16], "big")
+
+        def pick(options):
+            nonlocal h
+            h, i = divmod(h, len(options))
+            return options[i]
+
+        label = int(k % 3 == 0)
+        words = UNWANTED if label else WANTED
+        host = pick(("", "www.", "m.", "blog.", "en.", "shop.")) + pick(words) + pick(("", "-", "")) + pick((pick(words), "", pick(PAGES))) + pick(("", "", "24", "online"))
+        host += pick((".com", ".net", ".org", ".de", ".fr", ".es", ".co.uk", ".info", ".example.com", ".example.org"))
+        path = pick(("", "/", f"/{pick(PAGES)}", f"/{pick(PAGES)}/{pick(range(9999))}", f"/{pick(('en', 'de', 'fr', 'es'))}/{pick(words)}", f"/{pick(('en', 'de', 'fr', 'es'))}/{pick(range(9999))}", f"/{pick(range(1999, 2030))}/{pick(words)}-{pick(words)}.html"))
+        made.append((pick(("http://", "https://")) + host + path, label))
+    return spark.createDataFrame(made, "url string, label int")
 
 
 def host_of(url: Column) -> Column:
@@ -53,15 +68,20 @@ def path_of(url: Column) -> Column:
 def slots(host: Column, path: Column) -> Column:
     """Slots of the character n-grams of host and path, with repeats; host and path have slots of their own."""
 
-    def grams(text: Column, n: int, salt: str) -> Column:
-        padded = F.concat(F.lit("^"), text, F.lit("$"))
-        at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(salt), F.substr(padded, i, F.lit(n))), F.lit(SLOTS)).cast("int"))
+    def grams(text: Column, salt: str) -> Column:
+        def of(chars: Column) -> Column:
+            def runs(n: int) -> Column:
+                hashed = lambda x, i: F.xxhash64(F.lit(salt), F.concat_ws("", x, *[F.get(chars, i + k) for k in range(1, n)]))
+                return F.transform(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1))), lambda x, i: F.pmod(hashed(x, i), F.lit(SLOTS)).cast("int"))
+
+            return F.concat(*[runs(n) for n in SIZES])
+
+        return let(F.split(F.concat(F.lit("^"), text, F.lit("$")), "", -1), of)
 
-    return F.concat(*[grams(c, n, s) for n in SIZES for c, s in ((host, "h"), (path, "p"))])
+    return F.concat(grams(host, "h"), grams(path, "p"))
 
 
-def train(labelled: DataFrame, rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[list[float], float]:
+def train(labelled: DataFrame, rounds: int = 80, rate: float = 2.0, decay: float = 1e-3) -> tuple[list[float], float]:
     """(weights by slot, bias) from (url, label), by full-batch gradient descent over at most MOST_LABELLED rows."""
     rows = labelled.where("url is not null and label is not null").select("label", F.array_sort(F.array_distinct(slots(host_of(F.col("url")), path_of(F.col("url"))))).alias("s")).orderBy("label", F.xxhash64("s")).limit(MOST_LABELLED).collect()
     weights, bias = [0.0] * SLOTS, 0.0
@@ -94,12 +114,14 @@ def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules: tup
     """pages with host, path, rule, score (probability of block) and verdict."""
     weights, bias = train(labelled)
     learned = F.lit(weights)
-    made = pages.withColumn("host", host_of(F.col(f"`{url}`"))).withColumn("path", path_of(F.col(f"`{url}`")))
+    flat, at = numbered(pages, url)
+    made = flat.withColumn("host", host_of(F.col(at))).withColumn("path", path_of(F.col(at)))
     z = F.aggregate(F.array_distinct(slots(F.col("host"), F.col("path"))), F.lit(bias), lambda a, s: a + F.get(learned, s))
     z = F.when((F.col("host") == "") & (F.col("path") == ""), F.lit(bias)).otherwise(z)
-    made = made.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", 1 / (1 + F.exp(-z)))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return made.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule")
+    made = made.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", 1 / (1 + F.exp(-z)))
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
+    made = made.select(*flat.columns, "host", "path", F.col("fit.rule").alias("rule"), "score", verdict.alias("verdict"))
+    return made.toDF(*pages.columns, *free_names(pages.columns, ["host", "path", "rule", "score", "verdict"]))
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
