@@ -1,12 +1,14 @@
 """LM scoring by cross-entropy difference: how much better a target model predicts a document than a background model.
 
-Both are interpolated bigram models over the words themselves, told apart by 64-bit hashes: the target's is counted
-over the documents marked as such, the background's over all documents. What is counted grows with the corpus and
-stays distributed. Words are counted first. Then each word is dealt out to a bucket by its hash, with the hash of its
-bigram and its document, so a bucket has all occurrences of its words and bigrams, counts them and adds up losses by
-document; there are as many buckets as millions of words. The few words with more than a quarter of a bucket's share
-are dealt out by their bigrams instead, and only their counts are broadcast. A word's loss as the context of the next
-word is added where the word is counted, so no bucket asks for counts of another. No text is shuffled.
+Both are interpolated bigram models over one vocabulary, all words of the corpus, told apart by 64-bit hashes: the
+target's is counted over the documents marked as such, the background's over all. What is counted grows with the corpus
+and stays distributed; nothing but two totals of each model is sent to the driver.
+
+Documents are dealt into blocks of about ``BLOCK`` bytes of text as they lie. A block gives one row for each word and
+bigram it holds, with its counts there; rows meet by word or bigram, and those of two or more blocks get the sums
+back, block by block. Others need no answer: the block's own counts are all there are. A block with its answers then
+scores its documents. So rows grow with the distinct words and bigrams of blocks of a fixed size, whatever the corpus,
+a word or bigram has at most one row a block however frequent it is, and a task holds one block.
 
 Defined results: ASCII capitals count as small letters; a null or empty text has no tokens and null losses; without
 target documents the target model is uniform; repeated rows count again and score alike; documents with null ids count
@@ -15,36 +17,36 @@ for the background and are scored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import own, release, small, stash
+from .common import own, small, stash
 
 START = np.uint64(0x5851F42D4C957F2D)
 TRUST = 20.0  # tokens' worth of the unigram model in each bigram context
-BUCKET = 1 << 20  # words in a bucket, on average
-BLOCK = 4 << 20  # bytes of text dealt out together
+BLOCK = 8 << 20  # bytes of text in a block
+PAIR = np.uint64(0x2545F4914F6CDD1D)  # keeps bigrams apart from words
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word's hash, bigram's hash, 1 for a row's first word and 2 for one with a next word, index of each row's first word)."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word's hash, hash of the word before or START, index of each row's first word)."""
     data = tv.FOLD[data]
     starts, ends, first = tv.spans(data, off, tv.PLAIN)
     h = tv.word_hashes(data, starts, ends)
     before = np.empty_like(h)
     before[1:] = h[:-1]
-    full = np.diff(first) > 0
-    heads, tails = first[:-1][full], first[1:][full] - 1
-    before[heads] = START
-    place = np.full(len(h), 2)
-    place[tails] = 0
-    place[heads] += 1
-    return h, tv.mix(before * np.uint64(3) + h), place, first
+    before[first[:-1][np.diff(first) > 0]] = START
+    return h, before, first
+
+
+def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tv.mix(before * np.uint64(3) + word) ^ PAIR
 
 
 def totals(keys: np.ndarray, *values: np.ndarray) -> tuple:
@@ -53,141 +55,150 @@ def totals(keys: np.ndarray, *values: np.ndarray) -> tuple:
     return u, *[np.bincount(at.reshape(-1), v, len(u)) for v in values]
 
 
-def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (text, target) in; (word, target, background) out, the numbers of documents with word null."""
-    for batch in batches:
-        for part, data, off in tv.chunks(batch, "text", BLOCK):
-            word, _, _, first = tokens(data, off)
-            n = np.diff(first)
-            target = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            u, t, b = totals(word, np.repeat(target, n).astype(float), np.ones(len(word)))
-            docs = np.array([((n > 0) & target).sum(), (n > 0).sum()])
-            columns = [pa.array(np.append(u.view(np.int64), 0), mask=np.arange(len(u) + 1) == len(u)), *(pa.array(np.append(x, d).astype(np.int64)) for x, d in zip((t, b), docs, strict=True))]
-            yield pa.record_batch(columns, names=["word", "target", "background"])
-
-
-def deal(buckets: int, hot: np.ndarray):
-    """The function for mapInArrow: (text, target, key) in; blocks of words out, sorted by word and bigram in each."""
+def blocked(most: int):
+    """The function for mapInArrow: (doc_id, text, target) in; the same with the number of the row's block in front."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, at, size = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for part, data, off in tv.chunks(batch, "text", BLOCK):
-                word, pair, place, first = tokens(data, off)
-                if not len(word):
-                    continue
-                doc = np.repeat(np.arange(len(part)), np.diff(first))
-                place = place + 4 * part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-                key = part.column(2).to_numpy()
-                bucket = (tv.mix(np.where(np.isin(word, hot), pair, word) + START) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((pair, word, bucket))
-                bucket, word, pair, doc, place = (x[order] for x in (bucket, word, pair, doc, place))
-                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-                out = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    w, p = word[a:b], pair[a:b]
-                    new_p = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])]))
-                    w = w[new_p]
-                    new_w = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                    held, local = np.unique(doc[a:b], return_inverse=True)
-                    numbers = [np.diff(np.append(new_w, len(w))), np.diff(np.append(new_p, b - a)), local.reshape(-1) * 8 + place[a:b]]
-                    out.append([w[new_w].tobytes(), p[new_p].tobytes(), key[held].tobytes(), *(x.astype(np.uint32).tobytes() for x in numbers)])
-                yield pa.record_batch([pa.array(bucket[cuts[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["bucket", *BLOCKS])
+            for part, data, _ in tv.chunks(batch, "text", min(most, tv.CHUNK)):
+                if size and size + len(data) > most:
+                    at, size = at + 1, 0
+                size += len(data)
+                yield pa.record_batch([pa.array(np.full(len(part), task << 32 | at, np.int64)), *part.columns], names=["block", *part.schema.names])
 
     return tv.lean(rows)
 
 
-BLOCKS = {"words": np.uint64, "pairs": np.uint64, "keys": np.int64, "n_pairs": np.uint32, "n_words": np.uint32, "places": np.uint32}
-
-
-def losses(blocks: list[tuple], hot: tuple, number: list[tuple[int, int]], vocabulary: int) -> tuple:
-    """(key of a document, words, target loss, background loss), sums over a whole bucket."""
-    words, pairs, keys, n_pairs, n_words, places = (np.concatenate([np.frombuffer(b[i], t) for b in blocks]) for i, t in enumerate(BLOCKS.values()))
-    sizes = [len(b[5]) // 4 for b in blocks]
-    docs = np.cumsum([0, *[len(b[2]) // 8 for b in blocks]])[:-1]
-    doc, place = (places >> 3) + np.repeat(docs, sizes), places & 7
-    run = np.repeat(np.arange(len(pairs)), n_words)
-    seen = (np.bincount(run, place >> 2, len(pairs)), n_words.astype(float))
-    _, which = np.unique(pairs, return_inverse=True)
-    held, whose = np.unique(np.repeat(words, n_pairs), return_inverse=True)
-    which, whose = which.reshape(-1), whose.reshape(-1)
-    at = np.minimum(np.searchsorted(hot[0], held), max(len(hot[0]) - 1, 0))
-    spread = hot[0][at] == held if len(hot[0]) else np.zeros(len(held), bool)
-    sums = []
-    for k, (total, n_docs) in enumerate(number):
-        pair = np.bincount(which, seen[k])[which]
-        word = np.bincount(whose, seen[k])
-        word[spread] = hot[k + 1][at[spread]] if spread.any() else 0
-        word = word[whose]
-        loss = -np.log(pair + TRUST * (word + 1.0) / (total + vocabulary))
-        sums.append(loss[run] + np.where(place & 2, np.log(word + TRUST)[run], 0.0) + np.where(place & 1, np.log(n_docs + TRUST), 0.0))
-    return totals(keys[doc], np.ones(len(doc)), *sums)
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "block") -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(block, its rows) again and again, from rows that are in order of blocks."""
 
+    def runs() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            if len(batch):
+                number = batch.column(batch.schema.get_field_index(column)).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(batch)]
+                yield from ((int(number[a]), batch.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
-def score(told):
-    """The function for mapInArrow: blocks sorted by bucket in; sums of documents out."""
+    for block, held in itertools.groupby(runs(), key=lambda x: x[0]):
+        yield block, [x for _, x in held]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks, done, size = None, [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if done:
-                key, n, *sums = totals(*(np.concatenate(x) for x in zip(*done, strict=True)))
-                for i in range(0, len(key), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield pa.record_batch([pa.array(key[s]), pa.array(n[s].astype(np.int64)), *(pa.array(x[s]) for x in sums)], names=["key", "n", "target", "background"])
+def texts(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """tokens() of a block's rows, and whether each row is a target document."""
+    word, before, counts, target = [], [], [], []
+    for batch in rows:
+        for part, data, off in tv.chunks(batch, "text"):
+            w, b, first = tokens(data, off)
+            word.append(w)
+            before.append(b)
+            counts.append(np.diff(first))
+            target.append(part.column(part.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool))
+    counts = np.concatenate([np.empty(0, np.int64), *counts])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    return *(np.concatenate([np.empty(0, np.uint64), *x]) for x in (word, before)), first, np.concatenate([np.empty(0, bool), *target])
 
-        for batch in batches:
-            for bucket, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    if blocks:
-                        done.append(losses(blocks, *told.value))
-                        size += len(done[-1][0])
-                        if size > 2_000_000:
-                            yield from flush()
-                            done, size = [], 0
-                    now, blocks = bucket, []
-                blocks.append(block)
-        if blocks:
-            done.append(losses(blocks, *told.value))
-        yield from flush()
 
-    return tv.lean(rows)
+def counted(word: np.ndarray, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> list[tuple]:
+    """(hashes, target counts, background counts) of a block's words and of its bigrams, sorted."""
+    weight = np.repeat(target, np.diff(first)).astype(float)
+    return [totals(keys, weight, np.ones(len(keys))) for keys in (word, pairs(before, word))]
 
 
-def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (doc_id, text, key) in; doc_id, key and the number of words out."""
-    for batch in batches:
-        for part, data, off in tv.chunks(batch, "text"):
-            yield pa.record_batch([part.column(0), part.column(2), pa.array(np.diff(tv.spans(data, off, tv.PLAIN)[2]), pa.int64())], names=["doc_id", "key", "n_tokens"])
+def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: rows of blocks in; (gram, block, seen: target count times 2**32 plus background count, pair) out.
+
+    The numbers of documents with words are the counts of a word with gram null.
+    """
+    for block, rows in blocks(batches):
+        word, before, first, target = texts(rows)
+        full = np.diff(first) > 0
+        for pair, (gram, t, b) in enumerate(counted(word, before, first, target)):
+            known = np.ones(len(gram) + (not pair), bool)
+            if not pair:
+                known[-1] = False
+                gram, t, b = np.append(gram, np.uint64(0)), np.append(t, (full & target).sum()), np.append(b, full.sum())
+            seen = t.astype(np.int64) << 32 | b.astype(np.int64)
+            for i in range(0, len(gram), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                n = len(gram[s])
+                yield pa.record_batch([pa.array(gram[s].view(np.int64), mask=~known[s]), pa.array(np.full(n, block)), pa.array(seen[s]), pa.array(np.full(n, bool(pair)))], names=["gram", "block", "seen", "pair"])
 
 
-def lm_scores(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_words: int = BUCKET) -> DataFrame:
+def score(told):
+    """The function for mapInArrow: answers and rows of blocks in, in order of blocks with answers first; losses out."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, vocabulary = told
+        for _, held in blocks(batches):
+            held = pa.Table.from_batches(held)
+            docs = held.filter(held["kind"].to_numpy() == 1).combine_chunks().to_batches()
+            answers = held.filter(held["kind"].to_numpy() == 0)
+            if not docs:
+                continue
+            gram, target, background = (answers[c].to_numpy() for c in ("gram", "t", "b"))
+            order = np.argsort(gram.view(np.uint64))
+            gram, said = gram.view(np.uint64)[order], (target[order].astype(float), background[order].astype(float))
+            word, before, first, marked = texts(docs)
+
+            def known(keys: np.ndarray, own: tuple, k: int, gram=gram, said=said) -> np.ndarray:
+                """Counts of keys, which are sorted and distinct, in the whole corpus."""
+                out = own[k].copy()
+                if len(gram):
+                    at = np.minimum(np.searchsorted(gram, keys), len(gram) - 1)
+                    hit = gram[at] == keys
+                    out[hit] = said[k][at[hit]]
+                return out
+
+            (words, *w_own), (grams, *p_own) = counted(word, before, first, marked)
+            w_at, p_at = np.searchsorted(words, word), np.searchsorted(grams, pairs(before, word))
+            b_at, begins = np.minimum(np.searchsorted(words, before), max(len(words) - 1, 0)), np.zeros(len(word), bool)
+            begins[first[:-1][np.diff(first) > 0]] = True
+            sums = []
+            for k, (total, n_docs) in enumerate(number):
+                c_word, c_pair = known(words, w_own, k), known(grams, p_own, k)
+                if not len(word):
+                    sums.append(np.zeros(len(marked)))
+                    continue
+                context = np.where(begins, float(n_docs), c_word[b_at])
+                loss = np.log(context + TRUST) - np.log(c_pair[p_at] + TRUST * (c_word[w_at] + 1.0) / (total + vocabulary))
+                sums.append(np.add.reduceat(np.append(loss, 0.0), first[:-1]) * (np.diff(first) > 0))
+            ids = pa.chunked_array([d.column(d.schema.get_field_index("doc_id")) for d in docs]).combine_chunks()
+            yield pa.record_batch([ids, pa.array(np.diff(first)), *(pa.array(x) for x in sums)], names=["doc_id", "n_tokens", "target", "background"])
+
+    return tv.lean(rows)
+
+
+def lm_scores(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and score, their difference: low is target-like.
 
     target_ids: one column, the ids of the target documents.
     """
-    spark = docs.sparkSession
-    base = own(docs, doc_id, text).toDF("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))  # equal rows have equal keys, and equal losses
+    base = own(docs, doc_id, text).toDF("doc_id", "text")
+    kind = docs.schema[doc_id].dataType.simpleString()
     marked = target_ids.toDF("_target").where("_target is not null").distinct()
-    told = base.join(small(marked), F.col("doc_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull().alias("target"), "key")
-    sums = [F.sum(k).alias(k) for k in ("target", "background")]
-    words = stash(told.select("text", "target").mapInArrow(tv.lean(count), "word long, target long, background long").groupBy("word").agg(*sums), "words")
-    total = {r.docs: r for r in words.groupBy(F.col("word").isNull().alias("docs")).agg(*sums, F.count(F.lit(1)).alias("n")).collect()}
-    number = [tuple(int(total[docs][k]) if docs in total else 0 for docs in (False, True)) for k in ("target", "background")]
+    told = base.join(small(marked), F.col("doc_id") == F.col("_target"), "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target"))
+    held = stash(told.mapInArrow(blocked(block_bytes), f"block long, doc_id {kind}, text string, target boolean"), "blocks")
+    grams = held.select("block", "text", "target").mapInArrow(tv.lean(count), "gram long, block long, seen long, pair boolean")
+    by_gram = Window.partitionBy("gram", "pair")
+    met = grams.select(
+        "gram", "pair", "block", "seen", F.sum(F.shiftright("seen", 32)).over(by_gram).alias("t"), F.sum(F.col("seen").bitwiseAND(F.lit((1 << 32) - 1))).over(by_gram).alias("b"),
+        F.min("block").over(by_gram).alias("low"), F.max("block").over(by_gram).alias("high"), F.row_number().over(by_gram.orderBy("block")).alias("place"),
+    )
+    met = stash(met.select("gram", "block", "t", "b", "pair", (F.col("low") < F.col("high")).alias("many"), "place").where("many or (place = 1 and not pair)"), "answers")
+    # words of one block are kept here for the totals only
+    first = met.where("not pair and place = 1")
+    total = {r.docs: r for r in first.groupBy(F.col("gram").isNull().alias("docs")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    number = [tuple(int(total[docs][k]) if docs in total else 0 for docs in (False, True)) for k in ("t", "b")]
     vocabulary = total[False].n if False in total else 1
-    buckets = -(-number[1][0] // bucket_words) or 1
-    hot = words.where(F.col("word").isNotNull() & (F.col("background") * (4 * buckets) > number[1][0])).toArrow()  # at most 4 * buckets rows
-    hot = [hot.column(i).to_numpy() for i in range(3)]
-    order = np.argsort(hot[0].astype(np.int64).view(np.uint64))
-    hot = (hot[0].astype(np.int64).view(np.uint64)[order], hot[1][order], hot[2][order])
-    release(words)
-    schema = ", ".join(["bucket int", *(f"{b} binary" for b in BLOCKS)])
-    blocks = told.mapInArrow(deal(buckets, hot[0]), schema).repartition("bucket").sortWithinPartitions("bucket")
-    parts = blocks.mapInArrow(score(spark.sparkContext.broadcast((hot, number, vocabulary))), "key long, n long, target double, background double")
-    found = stash(parts.groupBy("key").agg(F.sum("n").alias("n"), *sums), "losses")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    all_docs = base.mapInArrow(lengths, f"doc_id {kind}, key long, n_tokens long").join(found, "key", "left")
-    out = all_docs.select("doc_id", "n_tokens", *((F.col(k) / F.col("n")).alias(f"{k}_loss") for k in ("target", "background")))
+    answers = met.where("many and gram is not null").select("block", F.lit(0).cast("byte").alias("kind"), "gram", "t", "b", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("target"))
+    rows = held.select("block", F.lit(1).cast("byte").alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("gram", "t", "b")), "doc_id", "text", "target")
+    ready = answers.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind")
+    scored = ready.mapInArrow(score((number, vocabulary)), f"doc_id {kind}, n_tokens long, target double, background double")
+    each = lambda k: F.when(F.col("n_tokens") > 0, F.col(k) / F.col("n_tokens")).alias(f"{k}_loss")
+    out = scored.select("doc_id", "n_tokens", each("target"), each("background"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

@@ -22,15 +22,15 @@ def plain(rows, target):
     return out
 
 
-@pytest.mark.parametrize("bucket_words", [5_000, 1 << 20])
-def test_losses_are_those_of_exact_counts(spark, bucket_words):
+@pytest.mark.parametrize("block_bytes", [50_000, lm_score.BLOCK])
+def test_losses_are_those_of_exact_counts(spark, block_bytes):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     # more different bigrams than the 2^20 slots that models once had
     rows += [(10**6 + k, " ".join(f"w{(k * 7919 + j * j * 31 + j) % 99991}" for j in range(20_000))) for k in range(60)]
     rows += [(10**7, None), (10**7 + 1, " \n"), (10**7 + 2, "one"), (10**7 + 3, "The the THE the")]
     docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").repartition(3)
     target = {r[0] for r in rows[:30]} | {10**6, 10**7, 10**7 + 3}
-    found = lm_score.lm_scores(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), bucket_words=bucket_words).collect()
+    found = lm_score.lm_scores(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), block_bytes=block_bytes).collect()
     assert len(found) == len(rows) + 2
     want = plain(rows + rows[:2], target)
     for r in found:
