@@ -55,7 +55,10 @@ def release(*stashes: DataFrame) -> None:
     """Delete tables that nothing reads any more, and let Spark's cleaner find the shuffles of finished jobs."""
     for df in stashes:
         drop_stash(df)
-        spark = df.sparkSession
+    release_shuffles(stashes[0].sparkSession)
+
+
+def release_shuffles(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

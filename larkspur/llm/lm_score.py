@@ -4,11 +4,13 @@ Both are interpolated bigram models over one vocabulary, all words of the corpus
 target's is counted over the documents marked as such, the background's over all. What is counted grows with the corpus
 and stays distributed; nothing but two totals of each model is sent to the driver.
 
-Documents are dealt into blocks of about ``BLOCK`` bytes of text as they lie. A block gives one row for each word and
-bigram it holds, with its counts there; rows meet by word or bigram, and those of two or more blocks get the sums
-back, block by block. Others need no answer: the block's own counts are all there are. A block with its answers then
-scores its documents. So rows grow with the distinct words and bigrams of blocks of a fixed size, whatever the corpus,
-a word or bigram has at most one row a block however frequent it is, and a task holds one block.
+Documents are dealt into blocks of some megabytes of text as they lie. A block lists its distinct words and bigrams
+in order of their hashes, with its counts of them, and sends each bucket its part of the list. A bucket has all parts
+of its range of hashes; it adds the counts up and answers each part with the sums, in the order of its list. A block
+with its answers then scores its documents. So whatever the corpus and however frequent a word, a block sends and gets
+one number for each distinct word and bigram it holds, and a task holds one block or one bucket. There are as many
+buckets as blocks of the least size, up to ``BUCKETS``; blocks grow with the corpus, up to ``MOST_BLOCK`` bytes, so that
+parts do not become too short.
 
 Defined results: ASCII capitals count as small letters; a null or empty text has no tokens and null losses; without
 target documents the target model is uniform; repeated rows count again and score alike; documents with null ids count
@@ -22,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import own, small, stash
+from .common import own, release_shuffles, small, stash
 
 START = np.uint64(0x5851F42D4C957F2D)
 TRUST = 20.0  # tokens' worth of the unigram model in each bigram context
-BLOCK = 8 << 20  # bytes of text in a block
+BLOCK, MOST_BLOCK = 8 << 20, 64 << 20  # least and most bytes of text in a block
+BLOCKS, BUCKETS = 1 << 16, 1 << 20  # blocks grow beyond so many; at most so many buckets
 PAIR = np.uint64(0x2545F4914F6CDD1D)  # keeps bigrams apart from words
 
 
@@ -56,18 +59,19 @@ def totals(keys: np.ndarray, *values: np.ndarray) -> tuple:
 
 
 def blocked(most: int):
-    """The function for mapInArrow: (doc_id, text, target) in; the same with the number of the row's block in front."""
+    """The function for mapInArrow: (doc_id, text, target) in; the same with the row's block and its place in it in front."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, at, size = TaskContext.get().partitionId(), 0, 0
+        task, block, size, n = TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
             for part, data, _ in tv.chunks(batch, "text", min(most, tv.CHUNK)):
                 if size and size + len(data) > most:
-                    at, size = at + 1, 0
+                    block, size, n = block + 1, 0, 0
                 size += len(data)
-                yield pa.record_batch([pa.array(np.full(len(part), task << 32 | at, np.int64)), *part.columns], names=["block", *part.schema.names])
+                yield pa.record_batch([pa.array(np.full(len(part), task << 32 | block, np.int64)), pa.array(np.arange(n, n + len(part))), *part.columns], names=["block", "at", *part.schema.names])
+                n += len(part)
 
     return tv.lean(rows)
 
@@ -86,87 +90,138 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "block") -> Iterator
         yield block, [x for _, x in held]
 
 
-def texts(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """tokens() of a block's rows, and whether each row is a target document."""
-    word, before, counts, target = [], [], [], []
+def texts(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens() of a block's rows."""
+    word, before, counts = [], [], []
     for batch in rows:
-        for part, data, off in tv.chunks(batch, "text"):
+        for _, data, off in tv.chunks(batch, "text"):
             w, b, first = tokens(data, off)
             word.append(w)
             before.append(b)
             counts.append(np.diff(first))
-            target.append(part.column(part.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool))
-    counts = np.concatenate([np.empty(0, np.int64), *counts])
-    first = np.concatenate([[0], np.cumsum(counts)])
-    return *(np.concatenate([np.empty(0, np.uint64), *x]) for x in (word, before)), first, np.concatenate([np.empty(0, bool), *target])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *counts]))])
+    return *(np.concatenate([np.empty(0, np.uint64), *x]) for x in (word, before)), first
 
 
 def counted(word: np.ndarray, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> list[tuple]:
-    """(hashes, target counts, background counts) of a block's words and of its bigrams, sorted."""
+    """(hashes, target counts, background counts) of words and of bigrams, in order of hashes."""
     weight = np.repeat(target, np.diff(first)).astype(float)
     return [totals(keys, weight, np.ones(len(keys))) for keys in (word, pairs(before, word))]
 
 
-def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: rows of blocks in; (gram, block, seen: target count times 2**32 plus background count, pair) out.
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of hashes, so that the keys of a sorted list come bucket by bucket."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    The numbers of documents with words are the counts of a word with gram null.
+
+def count(buckets: int):
+    """The function for mapInArrow: rows of blocks in; parts of their lists out.
+
+    Where a reader splits a block, its pieces are told apart by the place of their first rows.
     """
-    for block, rows in blocks(batches):
-        word, before, first, target = texts(rows)
-        full = np.diff(first) > 0
-        for pair, (gram, t, b) in enumerate(counted(word, before, first, target)):
-            known = np.ones(len(gram) + (not pair), bool)
-            if not pair:
-                known[-1] = False
-                gram, t, b = np.append(gram, np.uint64(0)), np.append(t, (full & target).sum()), np.append(b, full.sum())
-            seen = t.astype(np.int64) << 32 | b.astype(np.int64)
-            for i in range(0, len(gram), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                n = len(gram[s])
-                yield pa.record_batch([pa.array(gram[s].view(np.int64), mask=~known[s]), pa.array(np.full(n, block)), pa.array(seen[s]), pa.array(np.full(n, bool(pair)))], names=["gram", "block", "seen", "pair"])
-
-
-def score(told):
-    """The function for mapInArrow: answers and rows of blocks in, in order of blocks with answers first; losses out."""
+    names = ["bucket", "pair", "block", "start", "grams", "t", "b"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, vocabulary = told
-        for _, held in blocks(batches):
-            held = pa.Table.from_batches(held)
-            docs = held.filter(held["kind"].to_numpy() == 1).combine_chunks().to_batches()
-            answers = held.filter(held["kind"].to_numpy() == 0)
-            if not docs:
+        for block, held in blocks(batches):
+            start = min(x.column(x.schema.get_field_index("at"))[0].as_py() for x in held)
+            word, before, first = texts(held)
+            target = np.concatenate([x.column(x.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool) for x in held])
+            if not len(word):
                 continue
-            gram, target, background = (answers[c].to_numpy() for c in ("gram", "t", "b"))
-            order = np.argsort(gram.view(np.uint64))
-            gram, said = gram.view(np.uint64)[order], (target[order].astype(float), background[order].astype(float))
-            word, before, first, marked = texts(docs)
-
-            def known(keys: np.ndarray, own: tuple, k: int, gram=gram, said=said) -> np.ndarray:
-                """Counts of keys, which are sorted and distinct, in the whole corpus."""
-                out = own[k].copy()
-                if len(gram):
-                    at = np.minimum(np.searchsorted(gram, keys), len(gram) - 1)
-                    hit = gram[at] == keys
-                    out[hit] = said[k][at[hit]]
-                return out
-
-            (words, *w_own), (grams, *p_own) = counted(word, before, first, marked)
-            w_at, p_at = np.searchsorted(words, word), np.searchsorted(grams, pairs(before, word))
-            b_at, begins = np.minimum(np.searchsorted(words, before), max(len(words) - 1, 0)), np.zeros(len(word), bool)
-            begins[first[:-1][np.diff(first) > 0]] = True
-            sums = []
+            out = []
+            for pair, (gram, *seen) in enumerate(counted(word, before, first, target)):
+                bucket = bucket_of(gram, buckets)
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(gram)]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    out.append((int(bucket[i]), bool(pair), block, start, gram[i:j].tobytes(), *(x[i:j].astype(np.uint32).tobytes() for x in seen)))
+            for i in range(0, len(out), 4096):
+                yield pa.record_batch([pa.array(x) for x in zip(*out[i : i + 4096], strict=True)], names=names)
+
+    return tv.lean(rows)
+
+
+PARTS = "bucket long, pair boolean, block long, start long, grams binary, t binary, b binary"
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: parts in order of buckets and kinds in; each part answered with the sums of its grams out.
+
+    A row without a block has a bucket's totals: distinct words and their counts.
+    """
+    names = ["bucket", "pair", "block", "start", "t", "b", "n", "sum_t", "sum_b"]
+    held, now, size = [], None, 0
+
+    def answered() -> Iterator[pa.RecordBatch]:
+        gram = np.frombuffer(b"".join(x[4] for x in held), np.uint64)
+        u, at = np.unique(gram, return_inverse=True)
+        at = at.reshape(-1)
+        sums = [np.bincount(at, np.frombuffer(b"".join(x[k] for x in held), np.uint32), len(u)).astype(np.int64) for k in (5, 6)]
+        bucket, pair = now
+        if not pair:
+            yield pa.record_batch([pa.array([x], t) for x, t in zip((bucket, pair, None, None, None, None, len(u), int(sums[0].sum()), int(sums[1].sum())), TYPES, strict=True)], names=names)
+        cuts = np.cumsum([0, *(len(x[4]) // 8 for x in held)]).tolist()
+        for i in range(0, len(held), 256):
+            some = held[i : i + 256]
+            t, b = ([s[at[a:z]].tobytes() for a, z in zip(cuts[i : i + len(some)], cuts[i + 1 : i + 1 + len(some)], strict=True)] for s in sums)
+            columns = [[bucket] * len(some), [pair] * len(some), [x[2] for x in some], [x[3] for x in some], t, b, *([None] * len(some) for _ in range(3))]
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, TYPES, strict=True)], names=names)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:2] != now:
+                if held:
+                    yield from answered()
+                held, now = [], row[:2]
+            held.append(row)
+    if held:
+        yield from answered()
+
+
+ANSWERS = "bucket long, pair boolean, block long, start long, t binary, b binary, n long, sum_t long, sum_b long"
+TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+
+
+def score(number: list[tuple[int, int]], vocabulary: int):
+    """The function for mapInArrow: answers and rows of blocks in, in order of blocks, answers first; losses out."""
+
+    def losses(docs: list[pa.RecordBatch], said: list[list[np.ndarray]]) -> pa.RecordBatch:
+        word, before, first = texts(docs)
+        n, full = np.diff(first), np.diff(first) > 0
+        sums = [np.zeros(len(n)), np.zeros(len(n))]
+        if len(word):
+            words, w_at = np.unique(word, return_inverse=True)
+            _, p_at = np.unique(pairs(before, word), return_inverse=True)
+            w_at, p_at = w_at.reshape(-1), p_at.reshape(-1)
+            b_at = np.minimum(np.searchsorted(words, before), len(words) - 1)
+            begins = np.zeros(len(word), bool)
+            begins[first[:-1][full]] = True
             for k, (total, n_docs) in enumerate(number):
-                c_word, c_pair = known(words, w_own, k), known(grams, p_own, k)
-                if not len(word):
-                    sums.append(np.zeros(len(marked)))
-                    continue
+                c_word, c_pair = (said[pair][k].astype(float) for pair in (0, 1))
                 context = np.where(begins, float(n_docs), c_word[b_at])
                 loss = np.log(context + TRUST) - np.log(c_pair[p_at] + TRUST * (c_word[w_at] + 1.0) / (total + vocabulary))
-                sums.append(np.add.reduceat(np.append(loss, 0.0), first[:-1]) * (np.diff(first) > 0))
-            ids = pa.chunked_array([d.column(d.schema.get_field_index("doc_id")) for d in docs]).combine_chunks()
-            yield pa.record_batch([ids, pa.array(np.diff(first)), *(pa.array(x) for x in sums)], names=["doc_id", "n_tokens", "target", "background"])
+                sums[k][full] = np.add.reduceat(loss, first[:-1][full])
+        ids = pa.concat_arrays([d.column(d.schema.get_field_index("doc_id")) for d in docs])
+        return pa.record_batch([ids, pa.array(n), *(pa.array(x) for x in sums)], names=["doc_id", "n_tokens", "target", "background"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in blocks(batches):
+            table = pa.Table.from_batches(held)
+            is_doc = table["kind"].to_numpy() == 1
+            docs = table.filter(pa.array(is_doc)).sort_by("at").combine_chunks()
+            if not len(docs):
+                continue
+            answers = table.filter(pa.array(~is_doc))
+            start, pair, bucket = (answers[c].to_numpy() for c in ("at", "pair", "bucket"))
+            t, b = (answers[c].to_pylist() for c in ("t", "b"))
+            order = np.lexsort((bucket, pair, start))
+            at, starts = docs["at"].to_numpy(), np.unique(start)
+            cuts = [0, *np.searchsorted(at, starts[1:]).tolist(), len(docs)] if len(starts) else [0, len(docs)]
+            for i, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                mine = [k for k in order.tolist() if len(starts) and start[k] == starts[i]]
+                said = [[np.frombuffer(b"".join(x[k] for k in mine if bool(pair[k]) == bool(p)), np.int64) for x in (t, b)] for p in (0, 1)]
+                piece = docs.slice(low, high - low).to_batches()
+                if piece:
+                    yield losses(piece, said)
 
     return tv.lean(rows)
 
@@ -176,30 +231,28 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id",
 
     target_ids: one column, the ids of the target documents.
     """
-    base = own(docs, doc_id, text).toDF("doc_id", "text")
+    spark, base = docs.sparkSession, own(docs, doc_id, text).toDF("doc_id", "text")
     kind = docs.schema[doc_id].dataType.simpleString()
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(size // block_bytes, 1), BUCKETS)
+    block_bytes = min(max(block_bytes, size // BLOCKS), max(block_bytes, MOST_BLOCK))
     marked = target_ids.toDF("_target").where("_target is not null").distinct()
     told = base.join(small(marked), F.col("doc_id") == F.col("_target"), "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target"))
-    held = stash(told.mapInArrow(blocked(block_bytes), f"block long, doc_id {kind}, text string, target boolean"), "blocks")
-    grams = held.select("block", "text", "target").mapInArrow(tv.lean(count), "gram long, block long, seen long, pair boolean")
-    by_gram = Window.partitionBy("gram", "pair")
-    met = grams.select(
-        "gram", "pair", "block", "seen", F.sum(F.shiftright("seen", 32)).over(by_gram).alias("t"), F.sum(F.col("seen").bitwiseAND(F.lit((1 << 32) - 1))).over(by_gram).alias("b"),
-        F.min("block").over(by_gram).alias("low"), F.max("block").over(by_gram).alias("high"), F.row_number().over(by_gram.orderBy("block")).alias("place"),
-    )
-    met = stash(met.select("gram", "block", "t", "b", "pair", (F.col("low") < F.col("high")).alias("many"), "place").where("many or (place = 1 and not pair)"), "answers")
-    # words of one block are kept here for the totals only
-    first = met.where("not pair and place = 1")
-    total = {r.docs: r for r in first.groupBy(F.col("gram").isNull().alias("docs")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
-    number = [tuple(int(total[docs][k]) if docs in total else 0 for docs in (False, True)) for k in ("t", "b")]
-    vocabulary = total[False].n if False in total else 1
-    answers = met.where("many and gram is not null").select("block", F.lit(0).cast("byte").alias("kind"), "gram", "t", "b", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("target"))
-    rows = held.select("block", F.lit(1).cast("byte").alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("gram", "t", "b")), "doc_id", "text", "target")
-    ready = answers.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind")
-    scored = ready.mapInArrow(score((number, vocabulary)), f"doc_id {kind}, n_tokens long, target double, background double")
+    held = stash(told.mapInArrow(blocked(block_bytes), f"block long, at long, doc_id {kind}, text string, target boolean"), "blocks")
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_docs = held.agg(F.count_if(worded & F.col("target")), F.count_if(worded)).first()
+    parts = held.select("block", "at", "text", "target").mapInArrow(count(buckets), PARTS)
+    answers = stash(parts.repartition("bucket").sortWithinPartitions("bucket", "pair").mapInArrow(tv.lean(meet), ANSWERS), "answers")
+    release_shuffles(spark)
+    got = answers.where("block is null").agg(F.sum("n"), F.sum("sum_t"), F.sum("sum_b")).first()
+    number = [(got[1] or 0, n_docs[0]), (got[2] or 0, n_docs[1])]
+    nothing = {"bucket": "long", "pair": "boolean", "t": "binary", "b": "binary"}
+    rows = held.select("block", F.lit(1).cast("byte").alias("kind"), "at", *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()), "doc_id", "text")
+    told = answers.where("block is not null").select("block", F.lit(0).cast("byte").alias("kind"), F.col("start").alias("at"), *nothing, F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    ready = told.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind")
+    scored = ready.mapInArrow(score(number, got[0] or 1), f"doc_id {kind}, n_tokens long, target double, background double")
     each = lambda k: F.when(F.col("n_tokens") > 0, F.col(k) / F.col("n_tokens")).alias(f"{k}_loss")
-    out = scored.select("doc_id", "n_tokens", each("target"), each("background"))
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return scored.select("doc_id", "n_tokens", each("target"), each("background")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
