@@ -34,10 +34,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffles of a finished write are deleted at once; nothing else reads them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, lost executors cost no recomputation."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.format(fmt).option("compression", "zstd").save(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format(fmt).option("compression", "zstd").save(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.format(fmt).schema(df.schema).load(path)
 
 

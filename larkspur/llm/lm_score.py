@@ -114,6 +114,21 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys: the bytes a step takes, the first key, and the steps."""
+    steps = np.diff(keys)
+    width = -(-int(steps.max()).bit_length() // 8) if len(steps) else 0
+    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(held: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[0] = np.frombuffer(held, np.uint8, 8, 1)
+    if n > 1:
+        out[1:, : held[0]] = np.frombuffer(held, np.uint8, offset=9).reshape(n - 1, held[0])
+    return np.cumsum(out.view(np.uint64)[:, 0], dtype=np.uint64)
+
+
 def count(buckets: int):
     """The function for mapInArrow: rows of blocks in; parts of their lists out.
 
@@ -133,7 +148,7 @@ def count(buckets: int):
                 bucket = bucket_of(gram, buckets)
                 cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(gram)]
                 for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    out.append((int(bucket[i]), bool(pair), block, start, gram[i:j].tobytes(), *(x[i:j].astype(np.uint32).tobytes() for x in seen)))
+                    out.append((int(bucket[i]), bool(pair), block, start, packed(gram[i:j]), *(x[i:j].astype(np.uint32).tobytes() for x in seen)))
             for i in range(0, len(out), 4096):
                 yield pa.record_batch([pa.array(x) for x in zip(*out[i : i + 4096], strict=True)], names=names)
 
@@ -152,14 +167,15 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, now, size = [], None, 0
 
     def answered() -> Iterator[pa.RecordBatch]:
-        gram = np.frombuffer(b"".join(x[4] for x in held), np.uint64)
+        sizes = [len(x[5]) // 4 for x in held]
+        gram = np.concatenate([unpacked(x[4], n) for x, n in zip(held, sizes, strict=True)])
         u, at = np.unique(gram, return_inverse=True)
         at = at.reshape(-1)
         sums = [np.bincount(at, np.frombuffer(b"".join(x[k] for x in held), np.uint32), len(u)).astype(np.int64) for k in (5, 6)]
         bucket, pair = now
         if not pair:
             yield pa.record_batch([pa.array([x], t) for x, t in zip((bucket, pair, None, None, None, None, len(u), int(sums[0].sum()), int(sums[1].sum())), TYPES, strict=True)], names=names)
-        cuts = np.cumsum([0, *(len(x[4]) // 8 for x in held)]).tolist()
+        cuts = np.cumsum([0, *sizes]).tolist()
         for i in range(0, len(held), 256):
             some = held[i : i + 256]
             t, b = ([s[at[a:z]].tobytes() for a, z in zip(cuts[i : i + len(some)], cuts[i + 1 : i + 1 + len(some)], strict=True)] for s in sums)
