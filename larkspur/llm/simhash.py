@@ -1,11 +1,13 @@
 """Near-duplicates by SimHash fingerprints and a Gray-order hierarchical index.
 
-Fingerprints that differ in at most ``bits`` of 64 agree in one of ``bits + 1`` blocks, so each distinct fingerprint
-goes to one bucket a block. In a bucket the fingerprints are sorted by Gray rank; groups of neighbours form a node
+Cut into k + ``bits`` blocks, two fingerprints that differ in at most ``bits`` of 64 agree in some k blocks, so each
+distinct fingerprint goes to one bucket for each choice of k blocks. k grows with the number of fingerprints, so that an
+average bucket has at most a thousand: for 3 bits k is 1 (4 buckets, of 16 bits each) up to 65 million fingerprints,
+2 (10, of 25 bits) up to 33 billion, then 3 (20, of 32 bits). In a bucket the fingerprints are sorted by Gray rank; groups of neighbours form a node
 that keeps the bits all of them share (mask and pattern), nodes form higher nodes in turn. A join of the tree with
 itself goes down from the root and drops every pair of groups whose shared patterns already differ in too many bits.
 The links found by a task are cut to a spanning forest, so its output is linear in its input; a bucket of more than
-``split`` fingerprints is dealt out as pairs of parts, each pair to a task of its own.
+``split`` fingerprints is dealt out as pairs of parts. A task reads its buckets one after another.
 
 Exact copies are one fingerprint from the start, and a component id is found for fingerprints, not documents.
 
@@ -16,6 +18,7 @@ the only shingle; a null id never is a component's id unless all ids of the comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import numbered, own, small, stash
+from .common import numbered, own, release, small, stash
 from .components import components
 
 FAN = 8
+AT_ONCE = 1 << 18  # rows of buckets taken together
 
 
 def prints(shingle: int, text: str, carry: list[str]):
@@ -116,15 +120,26 @@ class Forest:
 
 
 def forest_links(bits: int):
-    """The function for mapInArrow: rows (k1, k2, fp) of whole buckets in, a spanning forest of their links out."""
+    """The function for mapInArrow: rows (k1, k2, fp) in order of buckets in, a spanning forest of their links out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)) for batch in batches]
-        if not held:
+        held, n = [np.empty((3, 0), np.int64)], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
+            n += len(batch)
+            if n >= AT_ONCE:  # all buckets but the last are whole
+                rows = np.concatenate(held, axis=1)
+                last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+                yield from trees(rows[:, ~last])
+                held, n = [rows[:, last]], 0
+        yield from trees(np.concatenate(held, axis=1))
+
+    def trees(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not rows.shape[1]:
             return
-        k1, k2, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, group = np.unique(np.stack([k1, k2], 1), axis=0, return_inverse=True)
-        forest = Forest(group.reshape(-1), fp.astype(np.int64).view(np.uint64))
+        k1, k2, fp = rows
+        group = np.cumsum(np.concatenate([[False], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+        forest = Forest(group, fp.view(np.uint64))
         # a place stands for one fingerprint of one bucket; equal fingerprints of other buckets meet in components()
         root = np.arange(len(forest.fp))
         kept = []
@@ -147,19 +162,35 @@ def forest_links(bits: int):
     return tv.lean(rows)
 
 
-def near_links(fps: DataFrame, bits: int = 3, split: int = 20_000) -> DataFrame:
+def keys(bits: int, k: int) -> list:
+    """For each choice of k of k + bits blocks: an expression for its number and the bits of these blocks together."""
+    edges = [64 * i // (k + bits) for i in range(k + bits + 1)]
+    out = []
+    choices = list(combinations(range(k + bits), k))
+    for number, chosen in enumerate(choices):
+        value = F.lit(0).cast("long")
+        for c in chosen:
+            width = edges[c + 1] - edges[c]
+            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned("fp", edges[c]).bitwiseAND(F.lit((1 << width) - 1)))
+        out.append(value * len(choices) + number)
+    return out
+
+
+def choice(n: int, bits: int, average: int = 1000) -> int:
+    """The least k whose buckets hold at most so many of n fingerprints on average."""
+    return next((k for k in range(1, 7) if n / 2 ** (64 * k // (k + bits)) <= average and 64 * k // (k + bits) < 56), 3)
+
+
+def near_links(fps: DataFrame, bits: int = 3, split: int = 20_000, k: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all within ``bits`` differing bits."""
-    blocks = bits + 1
-    width = -(-64 // blocks)
-    spread = fps.select("fp", F.explode(F.array(*[F.lit(i) for i in range(blocks)])).alias("block"))
-    value = F.expr(f"shiftrightunsigned(fp, block * {width}) & {(1 << width) - 1}L")
-    spread = spread.select("fp", (value * blocks + F.col("block")).alias("k1"))
+    k = k or choice(fps.count(), bits)
+    spread = fps.select("fp", F.explode(F.array(*keys(bits, k))).alias("k1"))
     hot = spread.groupBy("k1").count().where(F.col("count") > split).select("k1", F.ceil(F.col("count") / split).cast("int").alias("parts"))
     hot = stash(hot, "hot")
     placed = spread.join(small(hot), "k1", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), "parts")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j.cast("long")) * 1_000_000 + F.greatest(part, j.cast("long")))
-    dealt = placed.select("k1", F.explode(pairs).alias("k2"), "fp").repartition("k1", "k2")
+    dealt = placed.select("k1", F.explode(pairs).alias("k2"), "fp").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
     return dealt.mapInArrow(forest_links(bits), "a long, b long")
 
 
@@ -173,6 +204,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     linked = nodes.join(member, nodes.fp == member.node).select("fp", "root", "low")
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     known = stash(nodes.join(linked.join(low, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
+    release(nodes, links, member)
     return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
 

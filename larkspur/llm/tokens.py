@@ -212,11 +212,17 @@ def encoder(path: str | None, end_id: int, carry: list[str], text: str) -> Calla
     return tv.lean(rows)
 
 
+def shards_for(size: int) -> int:
+    """Shards of 16 MB of text, and of up to 512 MB where there would be more than 4,096."""
+    return max(1, -(-size // min(max(16 << 20, size // 4096), 512 << 20)))
+
+
 def write_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, shards: int | None = None, stripe_bytes: int = 16 << 20, index_stride: int = 1000) -> None:
     """Encode docs and write <path>/data (columns doc_id, ids, shard, shard_offset) as ORC, one file a shard."""
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own(docs, doc_id, text).toDF("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    base = own(docs, doc_id, text).toDF("doc_id", "text")
+    n = shards or shards_for(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    dealt = base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     coded = dealt.mapInArrow(encoder(tokenizer, end_id, ["doc_id"], "text"), f"doc_id {dealt.schema['doc_id'].dataType.simpleString()}, ids array<int>, shard_offset long")
     (coded.withColumn("shard", F.spark_partition_id()).write.format("orc").option("compression", "zstd").option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(index_stride))
      .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").save(f"{path}/data"))
