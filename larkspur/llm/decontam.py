@@ -2,12 +2,15 @@
 
 Each chunk of documents is a shard: the suffixes that begin like some benchmark suffix are sorted by their words
 into a suffix array, every benchmark suffix is binary-searched in it, and the hits give verbatim matches with their
-places. Documents are read once and nothing is shuffled. The benchmark is a stated query set: it travels to the
-executors in blocks of at most ``block_words`` words and every document is held against every block.
+places. Nothing is shuffled. The benchmark is a stated query set: it travels to the executors in blocks of about
+``block_words`` words, at most ``GROUP`` blocks at a time, and every document is held against every block. Documents
+are read once for each group of blocks; between groups they are written with what has been found so far, so neither a
+broadcast nor a worker grows with the benchmark. Suffixes are cut at ``width`` words, since a window is no longer, and
+an array lives as long as its chunk; places of longer matches come from windows that follow each other.
 
 Defined results: a null text has no words; an item without words matches nothing; an item with fewer than ``width``
 words is one window as long as itself; a null item id marks words but is not listed; equal item ids count once;
-repeated rows give repeated rows; tables without rows give none.
+repeated rows give repeated rows; tables without rows give none; a new column whose name docs already has gets an underscore after its name.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import numbered, own
+from .common import free_names, numbered, own, stash
 
-WIDTH = 13
-RESULT = "n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,item_start:int,doc_start:long,n_words:int>>"
+WIDTH, GROUP = 13, 4
+ADDED = ("n_words", "n_hit", "items", "matches", "hits")
+RESULT = ("long", "long", "array<string>", "array<struct<item_id:string,item_start:int,doc_start:long,n_words:int>>", "array<struct<low:long,high:long>>")
+ARROW = (pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int64()), ("n_words", pa.int32())])), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
 
 
 class Block:
@@ -126,8 +131,11 @@ def longest(block: Block, place: np.ndarray, key: np.ndarray, stop: np.ndarray)
     return list(zip(item[first].tolist(), start[first].tolist(), place[first].tolist(), (length[first] + run - 1).tolist(), strict=True))
 
 
-def matcher(blocks: list, width: int, text: str, places: bool, carry: list[str]):
-    """The function for mapInArrow: blocks are broadcast lists of items, carry names the columns that go on."""
+def matcher(blocks: list, width: int, text: str, places: bool, carry: list[str], sofar: bool, more: bool):
+    """The function for mapInArrow: blocks are broadcast lists of items, carry names the columns that go on.
+
+    sofar: rows have the ADDED columns of the blocks before, with hits, the ranges of hit words; more: hits go on.
+    """
     built: list[Block] = []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +149,12 @@ def matcher(blocks: list, width: int, text: str, places: bool, carry: list[str])
                 doc = np.repeat(np.arange(len(n)), n)
                 stop = np.repeat(first[1:], n)
                 covered, items, matches = np.zeros(len(h) + 1, np.int64), {}, {}
+                if sofar:
+                    for k, (held, found, spans) in enumerate(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ADDED[2:]), strict=True)):
+                        items[k], matches[k] = set(held), list(found)
+                        for x in spans:
+                            covered[first[k] + x["low"]] += 1
+                            covered[first[k] + x["high"]] -= 1
                 for block in built:
                     place, key = search(block, block.ids(h), stop)
                     np.add.at(covered, place, 1)
@@ -150,17 +164,20 @@ def matcher(blocks: list, width: int, text: str, places: bool, carry: list[str])
                     if places:
                         for i, s, p, m in longest(block, place, key, stop):
                             matches.setdefault(int(doc[p]), []).append({"item_id": block.names[i], "item_start": s, "doc_start": int(p - first[doc[p]]), "n_words": m})
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
-                yield pa.record_batch(
-                    [
-                        *(part.column(part.schema.get_field_index(c)) for c in carry),
-                        pa.array(n, pa.int64()),
-                        pa.array(hit[first[1:]] - hit[first[:-1]], pa.int64()),
-                        pa.array([sorted(items.get(i, ())) for i in range(len(n))], pa.list_(pa.string())),
-                        pa.array([matches.get(i, []) for i in range(len(n))], pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int64()), ("n_words", pa.int32())]))),
-                    ],
-                    names=[*carry, "n_words", "n_hit", "items", "matches"],
-                )
+                inside = np.cumsum(covered)[:-1] > 0
+                hit = np.concatenate([[0], np.cumsum(inside)])
+                out = [pa.array(n, pa.int64()), pa.array(hit[first[1:]] - hit[first[:-1]], pa.int64())]
+                found = [[sorted(items.get(i, ())) for i in range(len(n))], [matches.get(i, []) for i in range(len(n))]]
+                if more:
+                    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+                    edge[first[1:-1]] = 0  # ranges end where their document does
+                    low = np.union1d(np.flatnonzero(edge[:-1] > 0), first[:-1][n > 0][inside[first[:-1][n > 0]]])
+                    high = np.union1d(np.flatnonzero(edge < 0), first[1:][n > 0][inside[first[1:][n > 0] - 1]])
+                    ranges: dict = {}
+                    for x, y in zip(low.tolist(), high.tolist(), strict=True):
+                        ranges.setdefault(int(doc[x]), []).append({"low": x - int(first[doc[x]]), "high": y - int(first[doc[x]])})
+                    found.append([ranges.get(i, []) for i in range(len(n))])
+                yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in carry), *out, *(pa.array(x, t) for x, t in zip(found, ARROW))], names=[*carry, *ADDED[: 4 + more]])
 
     return tv.lean(rows)
 
@@ -168,20 +185,39 @@ def matcher(blocks: list, width: int, text: str, places: bool, carry: list[str])
 def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = 1_000_000, places: bool = True, carry: list[str] | None = None) -> DataFrame:
     """docs with n_words, n_hit, items (ids as sorted strings) and matches (longest verbatim runs, if places).
 
-    carry: the columns of docs that are returned (all); docs must not have columns of the four names above.
+    carry: the columns of docs that are returned (all).
     """
-    spark, blocks, block, held = docs.sparkSession, [], [], 0
+    spark, names = docs.sparkSession, docs.columns if carry is None else carry
+    now, text, *carried = numbered(docs, text, *names)
+    now = now.select(*dict.fromkeys([*carried, text]))
+    kinds = {f.name: f.dataType.simpleString() for f in now.schema}
     items = own(benchmark, item_id, item_text).toDF("item_id", "text").where("text is not null").select(F.col("item_id").cast("string"), "text")
-    for name, content in items.toLocalIterator():
-        block.append((name, content))
-        held += len(content) // 2 + 1
-        if held > block_words:
-            blocks.append(spark.sparkContext.broadcast(block))
-            block, held = [], 0
-    blocks.append(spark.sparkContext.broadcast(block))
-    carry = docs.columns if carry is None else carry
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carry), RESULT])
-    return docs.mapInArrow(matcher(blocks, width, text, places, [f.name for f in docs.schema if f.name in carry]), schema)
+
+    def groups() -> Iterator[list]:
+        blocks, block, held = [], [], 0
+        for name, content in items.toLocalIterator():
+            block.append((name, content))
+            held += len(content) // 2 + 1
+            if held > block_words:
+                blocks.append(block)
+                block, held = [], 0
+                if len(blocks) == GROUP:
+                    yield blocks
+                    blocks = []
+        yield [*blocks, block]
+
+    sofar, told = False, None
+    for blocks in groups():
+        if told is not None:
+            now, sofar = stash(search_group(now, told, width, text, places, kinds, sofar, True), "found"), True
+        told = [spark.sparkContext.broadcast(b) for b in blocks]
+    found = search_group(now, told, width, text, places, {c: kinds[c] for c in carried}, sofar, False)
+    return found.toDF(*names, *free_names(list(names), list(ADDED[:4])))
+
+
+def search_group(docs: DataFrame, blocks: list, width: int, text: str, places: bool, kinds: dict[str, str], sofar: bool, more: bool) -> DataFrame:
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), *(f"{c} {k}" for c, k in zip(ADDED[: 4 + more], RESULT, strict=False))])
+    return docs.mapInArrow(matcher(blocks, width, text, places, list(kinds), sofar, more), schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", share: int | None = None, **options) -> DataFrame:

@@ -172,8 +172,13 @@ def test_tokens(spark, docs, rows, none):
 def test_decontamination(spark, docs, rows, none):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "one"), (901, None), (902, "--")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (50, 10**6):
-        found = decontam.find_matches(docs, bench, block_words=block).collect()
+    for block in (50, 400, 10**6):  # many groups of blocks, some, one block
+        if block == 50:
+            docs_, bench_ = docs.where("doc_id % 7 = 0 or doc_id > 999999"), bench.where("item_id < 24 or item_id >= 900")
+            rows_, items_ = [x for x in rows if x[0] % 7 == 0 or x[0] > 999999], [x for x in items if x[0] < 24 or x[0] >= 900]
+        else:
+            docs_, bench_, rows_, items_ = docs, bench, rows, items
+        found = decontam.find_matches(docs_, bench_, block_words=block).collect()
         mine = sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in found)
-        assert mine == sorted(decontam.brute(rows, items))
+        assert mine == sorted(decontam.brute(rows_, items_))
     assert decontam.remove_contaminated(docs, bench).columns == docs.columns and decontam.remove_contaminated(none, bench).count() == 0
