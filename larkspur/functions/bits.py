@@ -98,13 +98,13 @@ def field_add(value: Column, kind: str, at: int, by: Column, overflow: str = "WR
     return out.cast("long")
 
 
-def common(a: str, b: str) -> str:
-    """One longest common subsequence; where both neighbours are as good, the one with a shorter b is followed.
+def common(a: str, b: str) -> str | None:
+    """One longest common subsequence, none beyond MOST_CELLS as in the original limit; where both neighbours are as good, the one with a shorter b is followed.
 
     Rows of the table are kept as integers whose zero bits mark where the length grows: an eighth of a byte a cell.
     """
     if len(a) * len(b) > MOST_CELLS:
-        raise ValueError("the values are too long")
+        return None
     full = (1 << len(b)) - 1
     where: dict[str, int] = {}
     for j, c in enumerate(b):

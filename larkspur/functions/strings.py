@@ -13,20 +13,21 @@ BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
 def get_range(value: Column, start: int, end: int) -> Column:
-    """GETRANGE/SUBSTR: an inclusive range of characters, negative places from the end."""
-    n = F.length(value)
+    """GETRANGE/SUBSTR: an inclusive range of bytes, negative places from the end."""
+    held, n = value.cast("binary"), F.octet_length(value)
     a = F.greatest(n + start, F.lit(0)) if start < 0 else F.lit(start)
     b = n + end if end < 0 else F.least(F.lit(end), n - 1)
-    return F.when((a > b) | (a >= n), F.lit("")).otherwise(F.substr(value, a + 1, b - a + 1))
+    return F.when((a > b) | (a >= n), F.lit("")).otherwise(F.substr(held, a + 1, b - a + 1).cast("string"))
 
 
 def set_range(value: Column, at: int, part: str) -> Column:
-    """SETRANGE: overwrite from a place on, padded with NUL where the value is shorter."""
+    """SETRANGE: overwrite bytes from a place on, padded with NUL where the value is shorter."""
     v = F.coalesce(value, F.lit(""))
     if not part:
         return v
-    padded = F.when(F.length(v) < at, F.rpad(v, at, "\0")).otherwise(v)
-    return F.concat(F.substring(padded, 1, at), F.lit(part), F.substr(padded, F.lit(at + len(part) + 1), F.length(padded)))
+    n, new = F.octet_length(v), part.encode()
+    padded = F.when(n < at, F.concat(v, F.repeat(F.lit("\0"), F.lit(at) - n))).otherwise(v).cast("binary")
+    return F.concat(F.substring(padded, 1, at), F.lit(new), F.substr(padded, F.lit(at + len(new) + 1), F.greatest(n, F.lit(1)))).cast("string")
 
 
 def incr_by(value: Column, by: int) -> Column:
@@ -123,8 +124,26 @@ def geohash(lon: Column, lat: Column) -> Column:
     return F.concat(*[F.get(letters, F.shiftright(score, 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)).cast("int")) for i in range(10)], F.lit("0"))
 
 
+def in_bounds(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether a place lies in a box of bounds(), which may go beyond 180 degrees to either side."""
+    west, south, east, north = box
+    across = F.lit(False)
+    if west < -180:
+        across = lon >= west + 360
+    if east > 180:
+        across = across | (lon <= east - 360)
+    return lat.between(south, north) & (lon.between(west, east) | across)
+
+
+def in_rectangle(lon: Column, lat: Column, at: tuple[float, float], width_m: float, height_m: float) -> Column:
+    """GEOSEARCH BYBOX: both the way along the place's parallel and the way along its meridian are within half a side."""
+    along = haversine(lon, lat, F.lit(at[0]), lat)
+    up = haversine(F.lit(at[0]), lat, F.lit(at[0]), F.lit(at[1]))
+    return (along <= width_m / 2) & (up <= height_m / 2)
+
+
 def bounds(lon: float, lat: float, radius_m: float) -> tuple[float, float, float, float]:
-    """A box that holds the circle, for a filter that reaches the scan."""
+    """A box (west, south, east, north) that holds the circle, for a filter that reaches the scan; see in_bounds()."""
     d = math.degrees(radius_m / EARTH_M)
     w = 180.0 if abs(lat) + d >= 90 else math.degrees(math.asin(min(1.0, math.sin(math.radians(d)) / math.cos(math.radians(lat)))))
     return lon - w, lat - d, lon + w, lat + d

@@ -35,8 +35,22 @@ def last_write(log: DataFrame, keys: list[str], order: str, value: str = "value"
 
 
 def running(log: DataFrame, keys: list[str], order: str, delta: str) -> DataFrame:
-    """INCRBY/HINCRBY: the value after each increment of a log."""
-    return log.withColumn("value", F.sum(delta).over(Window.partitionBy(*keys).orderBy(order)))
+    """INCRBY/HINCRBY: the value after each increment of a log, null where it leaves 64 bits; increments that are no integers count 0."""
+    by = F.coalesce(F.col(delta).try_cast("bigint"), F.lit(0)).cast("decimal(38,0)")
+    return log.withColumn("value", F.sum(by).over(Window.partitionBy(*keys).orderBy(order)).try_cast("bigint"))
+
+
+def running_float(log: DataFrame, keys: list[str], order: str, delta: str) -> DataFrame:
+    """INCRBYFLOAT/HINCRBYFLOAT: the value after each increment; increments that are no finite numbers are refused and count 0."""
+    by = F.col(delta).try_cast("double")
+    by = F.when(by.isNull() | F.isnan(by) | (F.abs(by) == float("inf")), 0.0).otherwise(by)
+    return log.withColumn("value", F.sum(by).over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def appended(log: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
+    """APPEND: each key's pieces of a log joined in order."""
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return log.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["v"]), "").alias(value))
 
 
 def get_set(log: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
@@ -60,8 +74,18 @@ def exists(table: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
 
 
 def rename(table: DataFrame, old: str, new: str, key: str = "key") -> DataFrame:
-    """RENAME: rows of old take new's place."""
-    return table.where(F.col(key) != new).withColumn(key, F.when(F.col(key) == old, F.lit(new)).otherwise(F.col(key)))
+    """RENAME: rows of old take new's place; the same name or a missing source changes nothing."""
+    if old == new:
+        return table
+    moved = table.where(F.col(key) == old).withColumn(key, F.lit(new).cast(table.schema[key].dataType))
+    return table.where(~F.col(key).isin(old, new)).unionByName(moved).unionByName(_unless(table.where(F.col(key) == new), moved))
+
+
+def rename_nx(table: DataFrame, old: str, new: str, key: str = "key") -> DataFrame:
+    """RENAMENX: as RENAME if new is free."""
+    taken = table.where(F.col(key) == new)
+    moved = table.where(F.col(key) == old)
+    return table.where(F.col(key) != old).unionByName(_unless(moved.withColumn(key, F.lit(new).cast(table.schema[key].dataType)), taken)).unionByName(_when(moved, taken))
 
 
 def expire(table: DataFrame, keys: Column, at: Column, condition: str | None = None, column: str = "expire_at") -> DataFrame:
@@ -74,8 +98,20 @@ def expire(table: DataFrame, keys: Column, at: Column, condition: str | None = N
     return table.withColumn(column, F.when(keys & ok, at).otherwise(old))
 
 
+def field_ttl(expire_ms: Column, now_ms: Column, milliseconds: bool = False, found: Column | None = None) -> Column:
+    """HTTL/HPTTL: what remains in whole seconds, 0 once it is over, -1 without expiry, -2 for missing fields."""
+    left = F.greatest(expire_ms - now_ms, F.lit(0))
+    out = F.when(expire_ms.isNull(), -1).otherwise(left if milliseconds else F.floor(left / 1000))
+    return out if found is None else F.when(found, out).otherwise(-2)
+
+
+def expire_time(expire_ms: Column, found: Column, milliseconds: bool = False) -> Column:
+    """EXPIRETIME/PEXPIRETIME/HEXPIRETIME/HPEXPIRETIME: when it ends, -1 without expiry, -2 where it is missing."""
+    return F.when(~found, -2).when(expire_ms.isNull(), -1).otherwise(expire_ms if milliseconds else F.floor(expire_ms / 1000))
+
+
 def ttl(expire_ms: Column, now_ms: Column, milliseconds: bool = False) -> Column:
-    """TTL/PTTL/HTTL: what remains, -1 without expiry; rows that are missing or expired give -2."""
+    """TTL/PTTL: what remains, rounded to seconds, -1 without expiry; rows that are missing or expired give -2."""
     left = expire_ms - now_ms
     return F.when(expire_ms.isNull(), -1).when(left <= 0, -2).otherwise(left if milliseconds else F.floor((left + 500) / 1000))
 
@@ -126,9 +162,9 @@ def list_remove(items: Column, value: Column, count: int) -> Column:
         return F.reverse(list_remove(F.reverse(items), value, -count))
     if not count:
         return F.filter(items, lambda x: x != value)
-    zero = F.struct(F.lit(0).alias("n"), F.slice(items, 1, 0).alias("out"))
-    step = lambda a, x: F.struct((a["n"] + F.when(x == value, 1).otherwise(0)).alias("n"), F.when((x == value) & (a["n"] < count), a["out"]).otherwise(F.array_append(a["out"], x)).alias("out"))
-    return F.aggregate(items, zero, step, lambda a: a["out"])
+    places = F.filter(F.transform(items, lambda x, i: F.when(x == value, i)), lambda i: i.isNotNull())
+    last = F.coalesce(F.get(places, F.least(F.lit(count), F.size(places)) - 1), F.lit(-1))  # the last match that goes
+    return F.filter(items, lambda x, i: (x != value) | (i > last))
 
 
 def list_positions(items: Column, value: Column, rank: int = 1, count: int = 1) -> Column:
@@ -251,6 +287,11 @@ def _unless(changes: DataFrame, conflicts: DataFrame) -> DataFrame:
     return changes.crossJoin(F.broadcast(n)).where("_conflicts = 0").drop("_conflicts")
 
 
+def _when(changes: DataFrame, needed: DataFrame) -> DataFrame:
+    n = needed.agg(F.count(F.lit(1)).alias("_needed"))  # one row
+    return changes.crossJoin(F.broadcast(n)).where("_needed > 0").drop("_needed")
+
+
 def set_all_or_none(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """MSETNX: changes are added if none of their keys exists."""
     return table.unionByName(_unless(changes, table.join(changes.select(*keys), keys, "left_semi")))

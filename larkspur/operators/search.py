@@ -163,8 +163,11 @@ def search(docs: DataFrame, query: str, text_fields: list[str], *, id: str = "do
     return member.join(total, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.col("score").desc(), "doc_id").offset(offset).limit(count)
 
 
-def aggregate(docs: DataFrame, group_by: list[str], reducers: dict[str, tuple[str, str | None]], *, where: Column | None = None, sort_by: list[tuple[str, bool]] = (), offset: int = 0, count: int | None = None, most_groups: int = 10_000) -> DataFrame:
-    """FT.AGGREGATE: reducers name -> (COUNT, SUM, AVG, MIN, MAX or COUNT_DISTINCT, field). Keys become strings, missing is empty."""
+def aggregate(docs: DataFrame, group_by: list[str], reducers: dict[str, tuple[str, str | None]], *, where: Column | None = None, sort_by: list[tuple[str, bool]] = (), offset: int = 0, count: int | None = None, apply: dict[str, Column] | None = None, having: Column | None = None) -> DataFrame:
+    """FT.AGGREGATE: reducers name -> (COUNT, SUM, AVG, MIN, MAX or COUNT_DISTINCT, field). Keys become strings, missing is empty.
+
+    apply adds columns made of the results (APPLY), having keeps rows of them (FILTER); groups have no limit.
+    """
     rows = docs if where is None else docs.where(where)
     keys = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in group_by]
 
@@ -176,6 +179,9 @@ def aggregate(docs: DataFrame, group_by: list[str], reducers: dict[str, tuple[st
         }[kind]()
 
     out = rows.groupBy(*keys).agg(*[reducer(*r).alias(n) for n, r in reducers.items()])
+    for name, made in (apply or {}).items():
+        out = out.withColumn(name, made)
+    out = out if having is None else out.where(having)
     if sort_by:
         order = []
         for name, desc in sort_by:

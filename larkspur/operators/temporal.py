@@ -72,19 +72,90 @@ def envelopes(log: DataFrame, keys: list[str], order: str, value: str, time: str
     return e.select(*keys, order, F.to_json(F.struct(F.col("before"), F.col(value).alias("after"), op.alias("op"), F.lit(source).alias("source"), F.col(time).alias("ts_ms"))).alias("event"))
 
 
-def publish(messages: DataFrame, subscriptions: DataFrame, most_globs: int = 200) -> DataFrame:
-    """PUBLISH: messages (channel, message) to subscriptions (subscriber, pattern, is_glob); equality first, then globs."""
-    from ..functions.strings import glob
-
-    exact = messages.join(subscriptions.where("not is_glob"), F.col("channel") == F.col("pattern"))
-    out = exact.select("subscriber", "channel", "message")
-    globs = [r.pattern for r in subscriptions.where("is_glob").select("pattern").distinct().limit(most_globs + 1).collect()]
-    if len(globs) > most_globs:
-        raise ValueError("split the glob subscriptions")
-    for p in globs:
-        hit = messages.where(F.col("channel").rlike(glob(p))).withColumn("pattern", F.lit(p)).join(subscriptions.where("is_glob"), "pattern")
-        out = out.unionByName(hit.select("subscriber", "channel", "message"))
-    return out
+def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """PUBLISH: messages (channel, message) to subscriptions (subscriber, pattern, is_glob); a channel that fits two of a subscriber's patterns comes twice.
+
+    Globs are joined by their plain beginnings, of any number, and then held against the channel as a whole.
+    """
+    out = messages.join(subscriptions.where("not is_glob"), F.col("channel") == F.col("pattern")).select("subscriber", "channel", "message")
+    plain = F.regexp_extract("pattern", r"^[^*?\[\\]*", 0)
+    escaped = F.regexp_replace("pattern", r"([.+$(){}|]|(?<!\[)\^)", r"\\$1")
+    escaped = F.regexp_replace(F.regexp_replace(escaped, r"(?<!\\)\*", r"[\\s\\S]*"), r"(?<!\\)\?", r"[\\s\\S]")
+    globs = subscriptions.where("is_glob").select("subscriber", plain.alias("_begin"), F.concat(F.lit("^"), escaped, F.lit("$")).alias("_whole"))
+    begins = F.transform(F.sequence(F.lit(0), F.length("channel")), lambda n: F.substr("channel", F.lit(1), n))
+    spread = messages.where(F.col("channel").isNotNull()).withColumn("_begin", F.explode(begins))
+    hit = spread.join(globs, "_begin").where("channel rlike _whole").select("subscriber", "channel", "message")
+    return out.unionByName(hit)
+
+
+def trim_before(stream: DataFrame, low: tuple[int, int]) -> DataFrame:
+    """XTRIM MINID: entries from an id on."""
+    return stream.where((F.col("id_ms") > low[0]) | ((F.col("id_ms") == low[0]) & (F.col("id_seq") >= low[1])))
+
+
+def pending_range(pel: DataFrame, low: int, high: int, count: int, *, idle: int = 0, now: int = 0, consumer: str | None = None) -> DataFrame:
+    """XPENDING with a range: entries by id, with their idle time and deliveries."""
+    rows = pel.withColumn("idle", F.lit(now) - F.col("delivered_ms")).where(F.col("id_ms").between(low, high) & (F.col("idle") >= idle))
+    rows = rows if consumer is None else rows.where(F.col("consumer") == consumer)
+    return rows.select("id_ms", "consumer", "idle", "deliveries").orderBy("id_ms").limit(count)
+
+
+def deliver(stream: DataFrame, groups: DataFrame, pel: DataFrame, consumer: str, now: int, count: int | None = None, key: str = "key") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """XREADGROUP with >: (entries given out, pending entries after it, groups after it). groups: key, group, last_ms, last_seq."""
+    new = read_group(stream, groups, key)
+    if count is not None:
+        w = Window.partitionBy(key, "group").orderBy("id_ms", "id_seq")
+        new = new.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= count).drop("_n")
+    added = new.select(key, "group", "id_ms", "id_seq", F.lit(consumer).alias("consumer"), F.lit(now).cast("long").alias("delivered_ms"), F.lit(1).alias("deliveries"))
+    last = new.groupBy(key, "group").agg(F.max(F.struct("id_ms", "id_seq")).alias("_last"))
+    moved = groups.join(last, [key, "group"], "left").select(key, "group", F.coalesce("_last.id_ms", "last_ms").alias("last_ms"), F.coalesce("_last.id_seq", "last_seq").alias("last_seq"))
+    return new, pel.unionByName(added), moved
+
+
+def history(stream: DataFrame, pel: DataFrame, consumer: str, after: int, key: str = "key") -> DataFrame:
+    """XREADGROUP with an id: the consumer's own pending entries after it."""
+    mine = pel.where((F.col("consumer") == consumer) & (F.col("id_ms") > after)).select(key, "group", "id_ms", "id_seq")
+    return stream.join(mine, [key, "id_ms", "id_seq"])
+
+
+def group_info(groups: DataFrame, pel: DataFrame, key: str = "key") -> DataFrame:
+    """XINFO GROUPS: each group's consumers, pending entries and last id."""
+    n = pel.groupBy(key, "group").agg(F.count_distinct("consumer").alias("consumers"), F.count(F.lit(1)).alias("pending"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return groups.join(n, [key, "group"], "left").select(key, "group", zero("consumers"), zero("pending"), "last_ms", "last_seq")
+
+
+def queue_pop(queue: DataFrame, count: int, max_delivery: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """MQ POP: (messages given out, dead letters, queue after it). queue: id, deliveries, claimed.
+
+    The first count messages that nobody holds are claimed; those delivered max_delivery times already go to the dead letters.
+    """
+    first = queue.where("not claimed").orderBy("id").limit(count)
+    dead = first.where((F.lit(max_delivery) > 0) & (F.col("deliveries") >= max_delivery))
+    given = first.join(dead.select("id"), "id", "left_anti").select("id", (F.col("deliveries") + 1).alias("deliveries"))
+    held = queue.join(dead.select("id"), "id", "left_anti").join(given.select("id", F.col("deliveries").alias("_now")), "id", "left")
+    return given, dead.select("id", "deliveries"), held.select("id", F.coalesce("_now", "deliveries").alias("deliveries"), (F.col("claimed") | F.col("_now").isNotNull()).alias("claimed"))
+
+
+def debounced(events: DataFrame, window_ms: int, key: str = "key", at: str = "at_ms") -> DataFrame:
+    """MQ TRIGGER: the first event of each burst, a run of events of which none comes later than window_ms after the one before."""
+    before = F.lag(at).over(Window.partitionBy(key).orderBy(at))
+    return events.withColumn("_gap", F.col(at) - before).where(F.col("_gap").isNull() | (F.col("_gap") > window_ms)).drop("_gap")
+
+
+def visible(versions: DataFrame, snapshot: int, txn: int | None = None, committed: DataFrame | None = None) -> DataFrame:
+    """Rows (insert_lsn, delete_lsn, txn_id) that a snapshot sees: inserted by then by a committed transaction, or by its own, and not deleted."""
+    rows = versions if committed is None else versions.join(F.broadcast(committed.select("txn_id", F.lit(True).alias("_done"))), "txn_id", "left")
+    done = F.lit(True) if committed is None else F.col("_done").isNotNull() | (F.col("txn_id") == 0)
+    own = F.lit(False) if txn is None else F.col("txn_id") == txn
+    seen = (own | (done & (F.col("insert_lsn") <= snapshot))) & ((F.col("delete_lsn") == 0) | (F.col("delete_lsn") > snapshot))
+    return rows.where(seen).select(*versions.columns)
+
+
+def undo(table: DataFrame, log: DataFrame, txn: int, keys: list[str], value: str = "value") -> DataFrame:
+    """TXN ABORT: keys that a transaction wrote get back what they held before its first write; log: keys, order, txn_id, before (null: missing)."""
+    first = log.where(F.col("txn_id") == txn).groupBy(*keys).agg(F.min_by(F.struct("before"), "order")["before"].alias(value))
+    return table.join(first.select(*keys), keys, "left_anti").unionByName(first.where(F.col(value).isNotNull()))
 
 
 def append(stream: DataFrame, entries: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:

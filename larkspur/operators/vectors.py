@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +43,52 @@ def knn(vectors: DataFrame, query: list[float], k: int, *, metric: str = "L2", v
     return rows.withColumn("distance", METRICS[metric](F.col(vec), q)).orderBy("distance", id).limit(k)
 
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str = "L2", most_queries: int = 10_000) -> DataFrame:
-    """k nearest for each of a bounded set of queries (query_id, query), blockwise against all vectors."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError("split the query set into blocks")
-    pairs = vectors.crossJoin(F.broadcast(queries)).withColumn("distance", METRICS[metric](F.col("embedding"), F.col("query")))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
+def nearest(block: list[tuple], k: int, metric: str, id: str, vec: str):
+    """The function for mapInArrow: the k nearest rows of a task for each query of a block (query_id, vector)."""
+    ids, wanted = [q for q, _ in block], np.array([v for _, v in block], np.float64)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(batch.schema.get_field_index(vec))))
+            if not len(batch):
+                continue
+            x = batch.column(batch.schema.get_field_index(vec)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            at = batch.column(batch.schema.get_field_index(id)).to_numpy()
+            if metric == "L2":
+                d = np.stack([((x - q) ** 2).sum(axis=1) for q in wanted])
+            else:
+                d = 1.0 - unit(wanted) @ unit(x).T
+            best, held = np.concatenate([best, d], axis=1), np.concatenate([held, np.broadcast_to(at, d.shape)], axis=1)
+            order = np.lexsort((held, best), axis=1)[:, :k]
+            best, held = np.take_along_axis(best, order, 1), np.take_along_axis(held, order, 1)
+        n = best.shape[1]
+        yield pa.record_batch([pa.array([q for q in ids for _ in range(n)], pa.int64()), pa.array(held.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", id, "distance"])
+
+    return rows
+
+
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str = "L2", block: int = 1000, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """k nearest for each of a set of queries (query_id, query), in blocks against all vectors; a task keeps k a query before anything is shuffled."""
+    found, held = [], []
+
+    def search(part: list) -> DataFrame:
+        return vectors.select(id, vec).mapInArrow(nearest(part, k, metric, id, vec), f"query_id long, {id} long, distance double")
+
+    for q in queries.select("query_id", "query").toLocalIterator():
+        held.append((q.query_id, q.query))
+        if len(held) == block:
+            found.append(search(held))
+            held = []
+    if held or not found:
+        found.append(search(held) if held else vectors.select(F.lit(0).cast("long").alias("query_id"), id, F.lit(0.0).alias("distance")).where("false"))
+    w = Window.partitionBy("query_id").orderBy("distance", id)
+    every = reduce(DataFrame.unionByName, found)
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", id, "distance", "rank")
 
 
 def within(vectors: DataFrame, query: list[float], threshold: float, *, metric: str = "L2", vec: str = "embedding") -> DataFrame:
@@ -79,6 +124,9 @@ def recommend(vectors: DataFrame, positive: list[int], negative: list[int], k: i
     if negative:
         mean = mean.join(down.groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("y")), "i", "left").select("i", (F.col("x") - 0.5 * F.coalesce("y", F.lit(0.0))).alias("x"))
     query = [r.x for r in mean.orderBy("i").collect()]  # as many rows as dimensions
+    norm = math.sqrt(sum(x * x for x in query))
+    if metric == "COSINE" and norm:
+        query = [x / norm for x in query]
     return knn(vectors, query, k, metric=metric, vec=vec, id=id, where=~F.col(id).isin([*positive, *negative]))
 
 
