@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import textvec as tv
 from .common import own, release_shuffles, small, stash
 
@@ -274,4 +275,4 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame, *, doc_id: str = "doc_id",
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), good)
+    return lm_scores(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), good)

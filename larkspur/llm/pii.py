@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import free_names, lower_ascii, numbered, stash
 from .quality import let
 
@@ -258,7 +259,7 @@ def listed(spans: Column) -> Column:
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
-    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = find_pii(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     base = F.filter("pii", lambda s: s["base"])
     counted = lambda k: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == k))).cast("long")
     return found.select(

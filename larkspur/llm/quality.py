@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import free_names, numbered, stash, words
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_marks")
@@ -154,5 +155,5 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    found = score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), carry=["doc_id"])
+    found = score_quality(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), carry=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

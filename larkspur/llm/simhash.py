@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import textvec as tv
 from .common import numbered, own, release, small, stash
 from .components import components
@@ -217,5 +218,5 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
