@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .vectors import METRICS
 
 
@@ -23,14 +24,26 @@ def oriented(edges: DataFrame, direction: str = "OUT", type: str | None = None)
     return {"OUT": lambda: out, "IN": lambda: into, "BOTH": lambda: out.unionByName(into)}[direction]().distinct()
 
 
+def steps(edges: DataFrame, direction: str = "OUT", type: str | None = None) -> DataFrame:
+    """(a, b) along edges, parallel ones as they are."""
+    e = edges.where(F.col("type") == type) if type else edges
+    out, into = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    return {"OUT": lambda: out, "IN": lambda: into, "BOTH": lambda: out.unionByName(into)}[direction]()
+
+
 def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str = "OUT", type: str | None = None) -> DataFrame:
-    """Breadth-first: (id, hops) of all nodes within depth of the start ids (column id), each at its least distance."""
-    hop = oriented(edges, direction, type)
+    """Breadth-first: (id, hops) of all nodes within depth of the start ids (column id), each at its least distance.
+
+    Only edges of the frontier are gone along and made distinct; each round but the last is written, so that the plan
+    does not double from hop to hop.
+    """
+    hop = steps(edges, direction, type)
     seen = start.select("id").distinct().withColumn("hops", F.lit(0))
     edge = seen
     for d in range(1, depth + 1):
         step = edge.join(hop, edge.id == hop.a).select(F.col("b").alias("id")).distinct()
         edge = step.join(seen, "id", "left_anti").withColumn("hops", F.lit(d))
+        edge = written(edge, "frontier") if d < depth else edge
         seen = seen.unionByName(edge)
     return seen
 
@@ -57,15 +70,70 @@ def match(nodes: DataFrame, edges: DataFrame, *, left: str | None = None, right:
 
 def shortest(edges: DataFrame, start: DataFrame, depth: int, direction: str = "OUT") -> DataFrame:
     """(id, cost): least sum of weights over at most depth edges (Bellman-Ford rounds)."""
+    return shortest_paths(edges, start, depth, direction).select("id", "cost")
+
+
+def shortest_paths(edges: DataFrame, start: DataFrame, depth: int, direction: str = "OUT", most: float | None = None) -> DataFrame:
+    """(id, cost, path): a cheapest path of at most depth edges, of equal ones the first by its nodes; none above cost most. Rounds are written."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
     e = e if direction == "OUT" else e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
-    now = start.select("id", F.lit(0.0).alias("cost"))
-    for _ in range(depth):
-        step = now.join(e, now.id == e.a).select(F.col("b").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"))
-        now = now.unionByName(step).groupBy("id").agg(F.min("cost").alias("cost"))
+    e = e.groupBy("a", "b").agg(F.min("weight").alias("weight"))
+    now = start.select("id", F.lit(0.0).alias("cost"), F.array("id").alias("path"))
+    for d in range(depth):
+        step = now.join(e, now.id == e.a).select(F.col("b").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.array_append("path", F.col("b")).alias("path"))
+        step = step if most is None else step.where(F.col("cost") <= most)
+        best = now.unionByName(step).groupBy("id").agg(F.min(F.struct("cost", "path")).alias("best"))
+        now = best.select("id", "best.cost", "best.path")
+        now = written(now, "relaxed") if d < depth - 1 else now
     return now
 
 
+def cost_paths(edges: DataFrame, start: DataFrame, depth: int, most: float, direction: str = "OUT") -> DataFrame:
+    """Depth-first search with a cost bound, as a set: (path, cost) of all simple paths of at most depth edges and cost most."""
+    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
+    e = e if direction == "OUT" else e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
+    now = start.select(F.array("id").alias("path"), F.lit(0.0).alias("cost"))
+    out = None
+    for _ in range(depth):
+        on = now.join(e, F.element_at("path", -1) == e.a).where(~F.array_contains("path", F.col("b")))
+        now = on.select(F.array_append("path", F.col("b")).alias("path"), (F.col("cost") + F.col("weight")).alias("cost")).where(F.col("cost") <= most)
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+# ---- writing
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """GRAPH.ADDNODE, CREATE (n): new nodes of the same columns; ids that exist are an error of the caller."""
+    return nodes.unionByName(new)
+
+
+def create_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GRAPH.ADDEDGE, CREATE ()-[]->(): edges between nodes that exist; no node is its own neighbour."""
+    ids = nodes.select("id")
+    ok = new.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.unionByName(ok)
+
+
+def merge_nodes(nodes: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """MERGE (n {on}): wanted nodes that no node equals in the columns on are created."""
+    return nodes.unionByName(wanted.join(nodes.select(*on).distinct(), on, "left_anti").select(*nodes.columns))
+
+
+def set_properties(nodes: DataFrame, which: Column, values: dict[str, Column]) -> DataFrame:
+    """SET n.name = value where which holds; other nodes stay."""
+    hit = F.coalesce(which, F.lit(False))
+    return nodes.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DELETE n: nodes and edges without the ids of gone; edges at them go too."""
+    g = gone.select("id").distinct()
+    left = edges.join(g.withColumnRenamed("id", "src"), "src", "left_anti").join(g.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return nodes.join(g, "id", "left_anti"), left
+
+
 def degree_stats(edges: DataFrame) -> DataFrame:
     """GRAPH.INFO: edges, nodes with edges, mean, median and largest degree."""
     deg = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))

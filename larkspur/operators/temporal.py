@@ -88,6 +88,11 @@ def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return out.unionByName(hit)
 
 
+def read_changes(events: DataFrame, from_lsn: int, count: int = 256, order: str = "lsn") -> DataFrame:
+    """CDC.READ: the next events from a place in the log on."""
+    return events.where(F.col(order) >= from_lsn).orderBy(order).limit(min(count, 10_000))
+
+
 def trim_before(stream: DataFrame, low: tuple[int, int]) -> DataFrame:
     """XTRIM MINID: entries from an id on."""
     return stream.where((F.col("id_ms") > low[0]) | ((F.col("id_ms") == low[0]) & (F.col("id_seq") >= low[1])))

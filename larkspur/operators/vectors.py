@@ -112,6 +112,22 @@ def rrf(streams: list[DataFrame], k: int, *, id: str = "doc_id", weights: list[f
     return reduce(DataFrame.unionByName, parts).groupBy(id).agg(F.sum("part").alias("score")).orderBy(F.col("score").desc(), id).limit(k)
 
 
+def hybrid(text: DataFrame, vectors: DataFrame, query: list[float], k: int, *, sparse: DataFrame | None = None, weights: list[float] | None = None, per_stream: int | None = None, metric: str = "L2", id: str = "vec_id") -> DataFrame:
+    """HYBRID: text scores (doc_id, score), k nearest vectors and sparse scores fused by rank; filters are applied to all by the caller.
+
+    Each stream gives its best max(60, 3 k).
+    """
+    n = per_stream or max(60, 3 * k)
+
+    def ranked(scored: DataFrame) -> DataFrame:
+        best = scored.orderBy(F.col("score").desc(), "doc_id").limit(n)
+        return best.select("doc_id", (F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")) - 1).alias("rank"))  # n rows
+
+    near = knn(vectors, query, n, metric=metric, id=id).select(F.col(id).alias("doc_id"), (-F.col("distance")).alias("score"))
+    streams = [ranked(text), ranked(near), *([] if sparse is None else [ranked(sparse)])]
+    return rrf(streams, k, weights=weights)
+
+
 def centroid(vectors: DataFrame, vec: str = "embedding") -> Column:
     """Mean of vectors as an aggregate over positions; use with one group."""
     return vectors.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))

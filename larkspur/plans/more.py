@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..operators import collections as C
 from ..operators import graph as G
+from ..operators import index as I
+from ..operators import ivf as A
 from ..operators import keyed as K
 from ..operators import search as T
 from ..operators import temporal as P
 from ..operators import vectors as V
-from ..sources.tables import table
-from .queries import EDGES, L2, ZSETS, edges, places, query, sets, zsets
+from ..sources.tables import scratch, spread, table
+from .queries import EDGES, L2, WORDS, ZSETS, edges, places, query, sets, zsets
 
 # ---- strings
 
@@ -519,3 +521,120 @@ def graph_shortest_multi_hop(spark, d):
     e = edges(spark, d)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight"))
     return G.shortest(both, spark.createDataFrame([(2,)], "id long"), 3)
+
+
+BOTH = EDGES.replace("e AS (", "e0 AS (", 1).replace("FROM e UNION SELECT dst, src FROM e", "FROM e0 UNION SELECT dst, src FROM e0") + ", m AS (SELECT src, dst, min(weight) AS weight FROM (SELECT src, dst, weight FROM e0 UNION ALL SELECT dst, src, weight FROM e0) GROUP BY 1, 2)"
+
+
+def both_ways(spark, d):
+    e = edges(spark, d)
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight"))
+
+
+@query(f"WITH {BOTH}, p1 AS (SELECT [2, dst] AS path, weight AS cost FROM m WHERE src = 2), p2 AS (SELECT list_append(path, dst) AS path, cost + weight AS cost FROM p1 JOIN m ON src = path[-1]), a AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT [2::BIGINT], 0.0), z AS (SELECT path[-1] AS id, cost, path FROM a QUALIFY row_number() OVER (PARTITION BY path[-1] ORDER BY cost, path) = 1) SELECT id, cost, array_to_string(path, '>') AS path FROM z")
+def graph_shortest_path(spark, d):
+    got = G.shortest_paths(both_ways(spark, d), spark.createDataFrame([(2,)], "id long"), 2)
+    return got.select("id", "cost", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(f"WITH {BOTH}, p0 AS (SELECT src, dst, weight FROM (SELECT src, dst, weight FROM e0 UNION ALL SELECT dst, src, weight FROM e0)), p1 AS (SELECT [2, dst] AS path, weight AS cost FROM p0 WHERE src = 2 AND weight <= 30), p2 AS (SELECT list_append(path, dst) AS path, cost + weight AS cost FROM p1 JOIN p0 ON src = path[-1] WHERE NOT list_contains(path, dst) AND cost + weight <= 30) SELECT array_to_string(path, '>') AS path, cost FROM p1 UNION ALL SELECT array_to_string(path, '>'), cost FROM p2")
+def graph_cost_paths(spark, d):
+    got = G.cost_paths(both_ways(spark, d), spark.createDataFrame([(2,)], "id long"), 2, 30.0)
+    return got.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "cost")
+
+
+def plain_nodes(spark, d):
+    return table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+
+
+NODES = "n AS (SELECT c_custkey * 2 AS id, c_name AS name, c_acctbal AS balance FROM customer)"
+
+
+@query(f"WITH {EDGES} SELECT src, dst, weight FROM e UNION ALL SELECT c_custkey * 2, (c_custkey * 3) % 500 * 2, 1.0 FROM customer WHERE c_custkey * 2 <> (c_custkey * 3) % 500 * 2 AND (c_custkey * 3) % 500 IN (SELECT c_custkey FROM customer)")
+def graph_create_edges(spark, d):
+    c = F.col("c_custkey")
+    new = table(spark, d, "customer").select((c * 2).alias("src"), (c * 3 % 500 * 2).alias("dst"), F.lit("NEW").alias("type"), F.lit(1.0).alias("weight"))
+    return G.create_edges(edges(spark, d), new, plain_nodes(spark, d)).select("src", "dst", "weight")
+
+
+@query(f"WITH {NODES} SELECT * FROM n UNION ALL SELECT s_suppkey * 2 + 1000001, s_name, s_acctbal FROM supplier WHERE s_name NOT IN (SELECT name FROM n)")
+def graph_merge_nodes(spark, d):
+    wanted = table(spark, d, "supplier").select((F.col("s_suppkey") * 2 + 1000001).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    mine = plain_nodes(spark, d)
+    return G.merge_nodes(mine, wanted.unionByName(mine), ["name"])
+
+
+@query(f"WITH {NODES} SELECT id, name, CASE WHEN balance < 0 THEN 0.0 ELSE balance END AS balance FROM n")
+def graph_set_properties(spark, d):
+    return G.set_properties(plain_nodes(spark, d), F.col("balance") < 0, {"balance": F.lit(0.0)})
+
+
+@query(f"WITH {EDGES}, {NODES} SELECT src, dst, weight FROM e WHERE src NOT IN (SELECT id FROM n WHERE balance < 0)")
+def graph_detach_delete(spark, d):
+    n = plain_nodes(spark, d)
+    return G.delete_nodes(n, edges(spark, d), n.where("balance < 0"))[1].select("src", "dst", "weight")
+
+
+# ---- written text indexes, fusion, approximate vectors
+
+HITS = WORDS + """, d AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), p AS (SELECT doc_id, term, dl, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+b AS (SELECT doc_id, p.term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1))) AS score FROM p JOIN df USING (term), s)"""
+
+
+def text_index(spark, d) -> str:
+    root = scratch(spark, "indexes")
+    I.create(spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit(""))), root, "docs", ["text"])
+    return root
+
+
+@query(f"WITH {HITS} SELECT doc_id, round(sum(score), 6) AS score FROM b WHERE term IN ('their', 'from', 'have') GROUP BY doc_id")
+def ft_index_search(spark, d):
+    return I.search(spark, text_index(spark, d), "docs", "text", [["their"], ["from"], ["have"]]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {HITS}, x AS (SELECT term FROM df WHERE starts_with(term, 'ha') ORDER BY df DESC, term LIMIT 50), y AS (SELECT term FROM df WHERE levenshtein(term, 'from') <= 1 ORDER BY df DESC, term LIMIT 50), g AS (SELECT doc_id, max(score) FILTER (WHERE term IN (SELECT term FROM x)) AS a, max(score) FILTER (WHERE term IN (SELECT term FROM y)) AS c FROM b GROUP BY doc_id) SELECT doc_id, round(coalesce(a, 0) + coalesce(c, 0), 6) AS score FROM g WHERE a IS NOT NULL OR c IS NOT NULL")
+def ft_index_prefix_fuzzy(spark, d):
+    root = text_index(spark, d)
+    groups = [[t for t, _ in I.expand(spark, root, "docs", "text", prefix="ha")], [t for t, _ in I.expand(spark, root, "docs", "text", fuzzy=("from", 1))]]
+    return I.search(spark, root, "docs", "text", groups).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {HITS} SELECT 'text' AS field, 'TEXT' AS kind, (SELECT n FROM s) AS n, round((SELECT avgdl FROM s), 6) AS avgdl, count(*) AS terms, sum(df)::BIGINT AS postings FROM df")
+def ft_index_info(spark, d):
+    return I.info(spark, text_index(spark, d), "docs").withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query("SELECT doc_id FROM documents WHERE (lower(source) LIKE 'src1%' OR lower(lang) = 'de') AND n_chars BETWEEN 200 AND 4000")
+def ft_hybrid_filter(spark, d):
+    return table(spark, d, "documents").where(I.parse_filter("AND 2 OR 2 TAG source SRC1* TAG lang de NUMERIC n_chars 200 4000".split())).select("doc_id")
+
+
+@query(f"WITH {HITS}, f AS (SELECT doc_id FROM documents WHERE n_chars >= 300), a AS (SELECT doc_id, row_number() OVER (ORDER BY sc DESC, doc_id) - 1 AS r FROM (SELECT doc_id, sum(score) AS sc FROM b WHERE term IN ('their', 'from') AND doc_id IN (SELECT doc_id FROM f) GROUP BY doc_id)), v AS (SELECT e.vec_id AS doc_id, row_number() OVER (ORDER BY {L2}, e.vec_id) - 1 AS r FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id IN (SELECT doc_id FROM f)), u AS (SELECT doc_id, 1.0::DOUBLE / (r + 61) AS s FROM a WHERE r < 60 UNION ALL SELECT doc_id, 2.0::DOUBLE / (r + 61) FROM v WHERE r < 60) SELECT doc_id, round(sum(s), 9) AS score FROM u GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 20")
+def ft_hybrid(spark, d):
+    docs = table(spark, d, "documents").where("n_chars >= 300").select("doc_id")
+    text = I.search(spark, text_index(spark, d), "docs", "text", [["their"], ["from"]]).join(docs, "doc_id", "left_semi")
+    e = table(spark, d, "embeddings").join(docs.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi")
+    return V.hybrid(text, e, table(spark, d, "embeddings").where("vec_id = 0").first().embedding, 20, weights=[1.0, 2.0]).select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query("SELECT vec_id AS query_id, true AS found FROM embeddings WHERE vec_id % 100 = 0")
+def vector_ivf(spark, d):
+    """Whether the inverted file finds at least 9 in 10 of the exact 10 nearest over all queries; the queries are every hundredth vector."""
+    e = table(spark, d, "embeddings")
+    path = scratch(spark, "ivf")
+    centroids = A.build(e, path, 16)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = A.search(spark, path, centroids, q, 10, 12)
+    exact = V.knn_join(e, q, 10)
+    share = exact.join(got.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return q.select("query_id").crossJoin(F.broadcast(share)).select("query_id", (F.col("recall") >= 0.9).alias("found"))  # one row
+
+
+# ---- change events
+
+
+@query("SELECT user_id, event_id, lag(event_type) OVER w AS before, event_type AS after, CASE WHEN lag(event_type) OVER w IS NULL THEN 'c' ELSE 'u' END AS op, 'events' AS source FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id) QUALIFY event_id >= 700 ORDER BY event_id LIMIT 256")
+def cdc_read_from(spark, d):
+    e = table(spark, d, "events").withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    feed = P.read_changes(P.envelopes(e, ["user_id"], "event_id", "event_type", "ts_ms", "events"), 700, order="event_id")
+    return feed.select("user_id", "event_id", F.from_json("event", "before string, after string, op string, source string").alias("e")).select("user_id", "event_id", "e.*")

@@ -14,7 +14,7 @@ from ..operators import search as T
 from ..operators import temporal as P
 from ..operators import vectors as V
 from ..operators.cypher import cypher
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -227,13 +227,13 @@ WORDS = f"t AS (SELECT doc_id, list_filter(string_split_regex(translate(lower(co
 m AS (SELECT * FROM h WHERE tf > 0), df AS (SELECT term, count(*) AS df FROM m GROUP BY term), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))), 6) AS score FROM m JOIN df USING (term), s GROUP BY doc_id""")
 def ft_search_bm25(spark, d):
-    got = T.bm25(table(spark, d, "documents"), "text", ["their", "from", "have"])
+    got = T.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["their", "from", "have"])
     return got.groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 @query(f"WITH {WORDS}, p AS (SELECT doc_id, unnest(w) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term")
 def ft_vocabulary(spark, d):
-    p = T.postings(table(spark, d, "documents"), ["text"])
+    p = T.postings(spread(table(spark, d, "documents").select("doc_id", "text")), ["text"])
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
