@@ -43,7 +43,7 @@ LOOSE = {
     "email": rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{{1,64}}+(?:\x20?[\[(]at[\])]\x20?[a-z0-9-]{{1,63}}+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[a-z0-9-]{{2,63}}+){{1,4}}|\x20at\x20[a-z0-9-]{{1,63}}+(?:\x20dot\x20[a-z0-9-]{{2,63}}+){{1,4}})",
     "ip": rf"(?i)(?<![0-9.])[0-9]{{1,3}}+(?:(?:{BETWEEN}|\.)[0-9]{{1,3}}+){{3}}(?![0-9.]?[0-9])",
     "card": r"(?<![0-9])[0-9]{4}+([./_\t]|\x20-\x20|\x20{2,3}|\u00a0)[0-9]{4}+\1[0-9]{4}+\1[0-9]{1,7}+(?![0-9])",
-    "phone": r"(?<![0-9+().-])(?:\(?[0-9]{2,4}\)?[\x20./-]{1,3}[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}|0[0-9]{8,14})(?![0-9-])",
+    "phone": r"(?<![0-9A-Za-z+().-])(?:\(?[0-9]{2,4}\)?[\x20./-]{1,3}[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}|0[0-9]{8,14})(?![0-9A-Za-z-])",
 }
 NEEDS = {"email": "@", "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
