@@ -2,8 +2,8 @@
 
 Clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, UNWIND, RETURN, DISTINCT, ORDER BY, SKIP, LIMIT. A variable-length
 part reaches each target once for each source, at its least number of hops. Parallel edges to a neighbour are one
-row. Variables that are bound already are joined, labels of targets are checked. Writing clauses are table
-operations (`keyed.upsert`, `left_anti`) and are not parsed.
+row. Variables that are bound already are joined, labels of targets are checked. Writing clauses are in
+`cypher_write`.
 
 props is a struct or a map. A struct keeps types; a map holds text, which a number is compared with as a number.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import visible
+
 TOKEN = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>`[^`]+`|\$?[A-Za-z_]\w*)|(?P<op><=|>=|<>|=~|\.\.|[-+*/%=<>()\[\]{},.:|]))")
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
 STOPS = {"match", "optional", "where", "with", "unwind", "return", "order", "skip", "limit"}
@@ -101,28 +103,35 @@ class Parser:
     def query(self) -> list[Clause]:
         out = []
         while self.at < len(self.toks):
-            if self.word() in ("optional", "match"):
-                c = Clause("match", optional=self.take("optional"))
-                self.need("match")
-                c.patterns.append(self.pattern())
-                while self.take(","):
-                    c.patterns.append(self.pattern())
-                c.where = self.expr() if self.take("where") else None
-            elif self.take("unwind"):
-                e = self.expr()
-                self.need("as")
-                c = Clause("unwind", items=[(e, self.name())])
-            elif self.word() in ("with", "return"):
-                c = self.projection(self.word())
-            else:
-                raise CypherError(f"unknown clause {self.peek()!r}")
-            out.append(c)
-            if c.kind == "return" and self.at < len(self.toks):
+            out.append(self.clause())
+            if out[-1].kind == "return" and self.at < len(self.toks):
                 raise CypherError("nothing may follow RETURN")
         if not out or out[-1].kind != "return":
             raise CypherError("RETURN is missing")
         return out
 
+    def clause(self) -> Clause:
+        """A reading clause."""
+        if self.word() in ("optional", "match"):
+            c = Clause("match", optional=self.take("optional"))
+            self.need("match")
+            c.patterns = self.patterns()
+            c.where = self.expr() if self.take("where") else None
+            return c
+        if self.take("unwind"):
+            e = self.expr()
+            self.need("as")
+            return Clause("unwind", items=[(e, self.name())])
+        if self.word() in ("with", "return"):
+            return self.projection(self.word())
+        raise CypherError(f"unknown clause {self.peek()!r}")
+
+    def patterns(self) -> list:
+        out = [self.pattern()]
+        while self.take(","):
+            out.append(self.pattern())
+        return out
+
     def projection(self, kind: str) -> Clause:
         self.at += 1
         c = Clause(kind, distinct=self.take("distinct"))
@@ -641,6 +650,33 @@ class Compiler:
         return rows
 
 
-def cypher(text: str, nodes: DataFrame, edges: DataFrame, params: dict | None = None) -> DataFrame:
-    """GRAPH.QUERY, read only. nodes: id, labels, props; edges: src, dst, type, weight."""
+def cypher(text: str, nodes: DataFrame, edges: DataFrame, params: dict | None = None, *, valid_at: int | None = None) -> DataFrame:
+    """GRAPH.QUERY, read only. nodes: id, labels, props; edges: src, dst, type, weight.
+
+    valid_at reads the graph as it was valid at a time (columns valid_from and valid_to of nodes and edges).
+    """
+    if valid_at is not None:
+        nodes, edges = visible(nodes, valid_at), visible(edges, valid_at)
     return Compiler(nodes, edges, params).run(parse(text))
+
+
+def explain(text: str) -> list[str]:
+    """GRAPH.EXPLAIN: the operators of a query in order; the physical plan is that of the DataFrame `cypher` returns."""
+    out, bound = [], set()
+    for c in parse(text):
+        if c.kind == "unwind":
+            out.append("Unwind")
+            bound.add(c.items[0][1])
+            continue
+        if c.kind == "match":
+            for parts in c.patterns:
+                if parts[0].var is None or parts[0].var not in bound:
+                    out.append("NodeScan " + ":".join(parts[0].labels) if parts[0].labels else "NodeScan")
+                out += [("Optional" if c.optional else "") + ("Expand" if e.hops is None else f"Expand *{e.hops[0]}..{e.hops[1]}") + (" " + "|".join(e.types) if e.types else "") for e in parts[1::2]]
+                bound |= {p.var for p in parts if p.var}
+            out += ["Filter"] if c.where else []
+            continue
+        out.append("Aggregate" if any(aggregated(e) for e, _ in c.items) else "Project")
+        out += [name for name, there in (("Distinct", c.distinct), ("Sort", c.order), ("Skip", c.skip), ("Limit", c.limit is not None), ("Filter", c.where)) if there]
+        bound = {name for _, name in c.items}
+    return out

@@ -13,8 +13,10 @@ from ..operators import keyed as K
 from ..operators import search as T
 from ..operators import temporal as P
 from ..operators import vectors as V
+from ..operators.cypher import cypher
+from ..operators.cypher_write import execute
 from ..sources.tables import scratch, spread, table
-from .queries import EDGES, L2, WORDS, ZSETS, edges, places, query, sets, zsets
+from .queries import EDGES, L2, WORDS, ZSETS, edges, nodes, places, query, sets, zsets
 
 # ---- strings
 
@@ -564,6 +566,38 @@ def graph_merge_nodes(spark, d):
     return G.merge_nodes(mine, wanted.unionByName(mine), ["name"])
 
 
+def flat(nodes):
+    return nodes.select("id", F.element_at("labels", 1).alias("label"), F.col("props.name").alias("name"), F.col("props.balance").alias("balance"))
+
+
+FLAT = "n AS (SELECT c_custkey * 2 AS id, 'Customer' AS label, c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT p_partkey * 2 + 1, 'Part', p_name, NULL FROM part)"
+
+
+@query(f"WITH {FLAT} SELECT label, name, balance, id IN (SELECT id FROM n) AS old FROM n UNION ALL SELECT 'Alert', name, balance, false FROM n WHERE label = 'Customer' AND balance < 0")
+def graph_cypher_create(spark, d):
+    before = nodes(spark, d)
+    after, _ = execute("MATCH (c:Customer) WHERE c.balance < 0 CREATE (c)-[:RAISED]->(a:Alert {name: c.name, balance: c.balance})", before, edges(spark, d))
+    old = before.select("id", F.lit(True).alias("_old"))
+    return flat(after).join(old, "id", "left").select("label", "name", "balance", F.coalesce("_old", F.lit(False)).alias("old"))
+
+
+@query("SELECT (c_acctbal < 0) AS low, count(*) AS customers FROM customer GROUP BY 1")
+def graph_cypher_merge(spark, d):
+    after, linked = execute("MATCH (c:Customer) WITH c, c.balance < 0 AS low MERGE (g:Group {name: toString(low)}) MERGE (c)-[:IN]->(g)", nodes(spark, d), edges(spark, d))
+    return cypher("MATCH (c:Customer)-[:IN]->(g:Group) RETURN g.name = 'true' AS low, count(c) AS customers", after, linked)
+
+
+@query(f"WITH {FLAT} SELECT id, label, name, CASE WHEN balance < 0 THEN 0.0 ELSE balance END AS balance FROM n")
+def graph_cypher_set(spark, d):
+    return flat(execute("MATCH (c:Customer) WHERE c.balance < 0 SET c.balance = 0.0", nodes(spark, d), edges(spark, d))[0])
+
+
+@query(f"WITH {EDGES} SELECT src, count(*) AS n, sum(weight) AS weight FROM e WHERE src NOT IN (SELECT c_custkey * 2 FROM customer WHERE c_acctbal < 0) GROUP BY src")
+def graph_cypher_delete(spark, d):
+    _, left = execute("MATCH (c:Customer) WHERE c.balance < 0 DETACH DELETE c", nodes(spark, d), edges(spark, d))
+    return left.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
 @query(f"WITH {NODES} SELECT id, name, CASE WHEN balance < 0 THEN 0.0 ELSE balance END AS balance FROM n")
 def graph_set_properties(spark, d):
     return G.set_properties(plain_nodes(spark, d), F.col("balance") < 0, {"balance": F.lit(0.0)})
