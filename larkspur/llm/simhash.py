@@ -96,6 +96,11 @@ class Forest:
             ones, zeros, group = np.bitwise_and.reduceat(ones, head), np.bitwise_or.reduceat(zeros, head), group[head]
             self.levels.append((~(ones ^ zeros), ones, np.append(head, len(index))))
 
+    def near(self, level: int, p: np.ndarray, q: np.ndarray, bits: int) -> np.ndarray:
+        """Whether the nodes p and q of a level may hold fingerprints with at most so many differing bits."""
+        mask, pattern, _ = self.levels[level]
+        return np.bitwise_count((pattern[p] ^ pattern[q]) & mask[p] & mask[q]) <= bits
+
     def links(self, bits: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of pairs of places (a < b) with at most so many differing bits."""
         roots = np.arange(len(self.levels[-1][0]))
@@ -105,7 +110,7 @@ class Forest:
             if not level:
                 yield a, b
                 continue
-            child, (mask, pattern, _) = self.levels[level][2], self.levels[level - 1]
+            child = self.levels[level][2]
             step = max(1, most // FAN**2)
             for i in range(0, len(a), step):
                 x, y = a[i : i + step], b[i : i + step]
@@ -115,50 +120,63 @@ class Forest:
                 p, q = child[x][pair] + k // ny[pair], child[y][pair] + k % ny[pair]
                 near = (p <= q) if level > 1 else (p < q)
                 p, q = p[near], q[near]
-                near = np.bitwise_count((pattern[p] ^ pattern[q]) & mask[p] & mask[q]) <= bits
+                near = self.near(level - 1, p, q, bits)
                 if near.any():
                     stack.append((level - 1, p[near], q[near]))
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
+    """Blocks of rows, one line a column; rows come in order of buckets (the first two columns), and no block cuts one."""
+    held, n = [np.empty((columns, 0), np.int64)], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]))
+        n += len(batch)
+        if n >= AT_ONCE:  # all buckets but the last are whole
+            rows = np.concatenate(held, axis=1)
+            last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+            if not last.all():
+                yield rows[:, ~last]
+            held, n = [rows[:, last]], 0
+    rows = np.concatenate(held, axis=1)
+    if rows.shape[1]:
+        yield rows
+
+
+def groups(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """The number of each row's bucket."""
+    return np.cumsum(np.concatenate([[False], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+
+
+def spanning(links: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links between n places that connect what all of them connect."""
+    root = np.arange(n)
+    kept = [(root[:0], root[:0])]
+    for a, b in links:
+        while len(a):
+            other = root[a] != root[b]
+            a, b = a[other], b[other]
+            if not len(a):
+                break
+            high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+            top, pick = np.unique(high, return_index=True)  # one link for each root that gives way
+            kept.append((a[pick], b[pick]))
+            root[top] = low[pick]
+            while (root[root] != root).any():
+                root = root[root]
+    a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
+    return a, b
+
+
 def forest_links(bits: int):
     """The function for mapInArrow: rows (k1, k2, fp) in order of buckets in, a spanning forest of their links out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [np.empty((3, 0), np.int64)], 0
-        for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
-            n += len(batch)
-            if n >= AT_ONCE:  # all buckets but the last are whole
-                rows = np.concatenate(held, axis=1)
-                last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
-                yield from trees(rows[:, ~last])
-                held, n = [rows[:, last]], 0
-        yield from trees(np.concatenate(held, axis=1))
-
-    def trees(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not rows.shape[1]:
-            return
-        k1, k2, fp = rows
-        group = np.cumsum(np.concatenate([[False], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-        forest = Forest(group, fp.view(np.uint64))
-        # a place stands for one fingerprint of one bucket; equal fingerprints of other buckets meet in components()
-        root = np.arange(len(forest.fp))
-        kept = []
-        for a, b in forest.links(bits):
-            while len(a):
-                other = root[a] != root[b]
-                a, b = a[other], b[other]
-                if not len(a):
-                    break
-                high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
-                top, pick = np.unique(high, return_index=True)  # one link for each root that gives way
-                kept.append((a[pick], b[pick]))
-                root[top] = low[pick]
-                while (root[root] != root).any():
-                    root = root[root]
-        if kept:
-            a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
-            yield pa.record_batch([pa.array(forest.fp[a].view(np.int64)), pa.array(forest.fp[b].view(np.int64))], names=["a", "b"])
+        for k1, k2, fp in whole_buckets(batches, 3):
+            # a place stands for one fingerprint of one bucket; equal fingerprints of other buckets meet in components()
+            forest = Forest(groups(k1, k2), fp.view(np.uint64))
+            a, b = spanning(forest.links(bits), len(forest.fp))
+            if len(a):
+                yield pa.record_batch([pa.array(forest.fp[a].view(np.int64)), pa.array(forest.fp[b].view(np.int64))], names=["a", "b"])
 
     return tv.lean(rows)
 
