@@ -21,10 +21,9 @@ def to_bits(value: Column) -> Column:
 
 def from_bits(bits: Column) -> Column:
     """Binary of a text of bits, filled with 0 to whole bytes."""
-    n = F.ceil(F.length(bits) / 8).cast("int") * 8
-    full = F.rpad(bits, n, "0")
-    nibbles = F.transform(F.sequence(F.lit(0), F.greatest(n / 4 - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substr(full, i * 4 + 1, F.lit(4)), 2, 16))
-    return F.unhex(F.when(n > 0, F.array_join(nibbles, "")).otherwise(F.lit("")))
+    full = F.rpad(bits, F.ceil(F.length(bits) / 8).cast("int") * 8, "0")
+    # the groups are cut once: a lambda that named the text would make it again for each of them
+    return F.unhex(F.array_join(F.transform(F.regexp_extract_all(full, F.lit("(....)"), F.lit(1)), lambda d: F.conv(d, 2, 16)), ""))
 
 
 def count_range(value: Column, start: int, end: int, unit: str = "BYTE") -> Column:
@@ -39,18 +38,24 @@ def count_range(value: Column, start: int, end: int, unit: str = "BYTE") -> Colu
 
 def set_bit(value: Column, at: int, bit: int) -> Column:
     """SETBIT: the value afterwards; GETBIT of the value before is what the command returns."""
-    return _put(to_bits(value), at, F.lit(str(bit)), 1)
+    return _put(value, at, F.lit(str(bit)), 1)
 
 
-def _put(bits: Column, at: int, part: Column, width: int) -> Column:
-    padded = F.when(F.length(bits) < at + width, F.rpad(bits, at + width, "0")).otherwise(bits)
-    return from_bits(F.concat(F.substring(padded, 1, at), part, F.substr(padded, F.lit(at + width + 1), F.length(padded))))
+def _put(value: Column, at: int, part: Column, width: int) -> Column:
+    """The value with a text of bits at a place; only the half bytes it lies in are read and made again."""
+    digits = F.hex(F.coalesce(value, F.lit("")).cast("binary"))
+    digits = F.rpad(digits, F.greatest(F.length(digits), F.lit((at + width + 7) // 8 * 2)), "0")
+    first, last, over = at // 4, (at + width - 1) // 4, (at + width) % 4
+    nibble = lambda i: F.lpad(F.conv(F.substring(digits, i + 1, 1), 16, 2), 4, "0")
+    bits = F.concat(F.substring(nibble(first), 1, at % 4), part, F.substring(nibble(last), over + 1, 4 - over) if over else F.lit(""))
+    made = [F.conv(F.substring(bits, 4 * i + 1, 4), 2, 16) for i in range(last - first + 1)]
+    return F.unhex(F.concat(F.substring(digits, 1, first), *made, F.substr(digits, F.lit(last + 2))))
 
 
 def bit_op(op: str, first: Column, *rest: Column) -> Column:
     """BITOP AND, OR, XOR over values, shorter ones filled with 0; NOT of one."""
     if op == "NOT":
-        return from_bits(F.translate(to_bits(first), "01", "10"))
+        return F.unhex(F.translate(F.hex(F.coalesce(first, F.lit("")).cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"))
     test = {"AND": lambda x, y: x.bitwiseAND(y), "OR": lambda x, y: x.bitwiseOR(y), "XOR": lambda x, y: x.bitwiseXOR(y)}[op]
     values = [F.hex(F.coalesce(c, F.lit("")).cast("binary")) for c in (first, *rest)]
     n = F.greatest(*[F.length(v) for v in values]) if rest else F.length(values[0])
@@ -85,7 +90,7 @@ def field_set(value: Column, kind: str, at: int, to: Column) -> Column:
     _, width = _kind(kind)
     size = _big(1 << width)
     part = F.lpad(F.conv(F.pmod(to.cast("decimal(38,0)"), size).cast("decimal(20,0)").cast("string"), 10, 2), width, "0")
-    return _put(to_bits(value), at, part, width)
+    return _put(value, at, part, width)
 
 
 def field_add(value: Column, kind: str, at: int, by: Column, overflow: str = "WRAP") -> Column:

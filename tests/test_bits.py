@@ -54,3 +54,24 @@ def test_lcs(spark):
 def test_sketches(spark):
     s = spark.range(5000).groupBy((F.col("id") % 4).alias("k")).agg(H.pf_add(F.col("id") % 3000).alias("s"))
     assert abs(s.agg(H.pf_count(H.pf_merge(F.col("s"))).alias("n")).first().n - 3000) < 60
+
+
+def test_bits_of_long_values(spark):
+    """The time of a value grows with its length, not with its square."""
+    import time
+
+    rng = random.Random(2)
+    for _ in range(5):
+        v, at, width = rng.randbytes(rng.randrange(12)), rng.randrange(70), rng.randrange(1, 64)
+        to = rng.randrange(1 << width)
+        whole = "".join(f"{x:08b}" for x in v).ljust((at + width + 7) // 8 * 8, "0")
+        whole = whole[:at] + f"{to:0{width}b}" + whole[at + width :]
+        want = bytes(int(whole[i : i + 8], 2) for i in range(0, len(whole), 8))
+        lit = F.unhex(F.lit(v.hex()))
+        assert one(spark, B.field_set(lit, f"u{width}", at, F.lit(to))) == want
+        assert one(spark, B.from_bits(B.to_bits(lit))) == v and one(spark, B.from_bits(F.lit(whole[: at + width]))) is not None
+    long = spark.range(200).select(F.repeat(F.lit("ab"), 2000).alias("v"))
+    start = time.monotonic()
+    got = long.select(B.set_bit(F.col("v"), 6, 0).alias("a"), B.bit_op("NOT", F.col("v")).alias("b"), B.from_bits(B.to_bits(F.col("v"))).alias("c")).collect()
+    assert time.monotonic() - start < 30
+    assert all(bytes(r.a) == b"a" + b"b" + b"ab" * 1999 and bytes(r.b) == b"\x9e\x9d" * 2000 and bytes(r.c) == b"ab" * 2000 for r in got)
