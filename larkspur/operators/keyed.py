@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 # ---- strings -------------------------------------------------------------------------------------------------
 
@@ -35,8 +36,13 @@ def last_write(log: DataFrame, keys: list[str], order: str, value: str = "value"
 
 
 def running(log: DataFrame, keys: list[str], order: str, delta: str) -> DataFrame:
-    """INCRBY/HINCRBY: the value after each increment of a log, null where it leaves 64 bits; increments that are no integers count 0."""
-    by = F.coalesce(F.col(delta).try_cast("bigint"), F.lit(0)).cast("decimal(38,0)")
+    """INCRBY/HINCRBY: the value after each increment of a log, null where it leaves 64 bits; increments that are no integers count 0.
+
+    Whole decimals are integers too, so increments may be wider than 64 bits.
+    """
+    kind = log.schema[delta].dataType
+    whole = isinstance(kind, DecimalType) and kind.scale == 0
+    by = F.coalesce(F.col(delta) if whole else F.col(delta).try_cast("bigint"), F.lit(0)).cast("decimal(38,0)")
     return log.withColumn("value", F.sum(by).over(Window.partitionBy(*keys).orderBy(order)).try_cast("bigint"))
 
 

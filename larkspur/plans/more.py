@@ -40,7 +40,7 @@ def string_incrbyfloat(spark, d):
 
 @query("SELECT user_id, event_id, CASE WHEN s <= 9223372036854775807 THEN s::BIGINT END AS value FROM (SELECT user_id, event_id, sum(event_id::HUGEINT * 30000000000000) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)")
 def string_incrby_overflow(spark, d):
-    log = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") * 30000000000000).alias("delta"))
+    log = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id").cast("decimal(20,0)") * F.lit(30000000000000).cast("decimal(14,0)")).alias("delta"))
     return K.running(log, ["user_id"], "event_id", "delta").drop("delta")
 
 
