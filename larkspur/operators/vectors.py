@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,52 +41,80 @@ def knn(vectors: DataFrame, query: list[float], k: int, *, metric: str = "L2", v
     return rows.withColumn("distance", METRICS[metric](F.col(vec), q)).orderBy("distance", id).limit(k)
 
 
-def nearest(block: list[tuple], k: int, metric: str, id: str, vec: str):
-    """The function for mapInArrow: the k nearest rows of a task for each query of a block (query_id, vector)."""
-    ids, wanted = [q for q, _ in block], np.array([v for _, v in block], np.float64)
+def closest(x: np.ndarray, at: np.ndarray, wanted: np.ndarray, k: int, metric: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance): the k nearest rows of x, with ids at, for each row of wanted, `block` of those at a time.
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-        for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column(batch.schema.get_field_index(vec))))
-            if not len(batch):
-                continue
-            x = batch.column(batch.schema.get_field_index(vec)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            at = batch.column(batch.schema.get_field_index(id)).to_numpy()
-            if metric == "L2":
-                d = np.stack([((x - q) ** 2).sum(axis=1) for q in wanted])
-            else:
-                d = 1.0 - unit(wanted) @ unit(x).T
-            best, held = np.concatenate([best, d], axis=1), np.concatenate([held, np.broadcast_to(at, d.shape)], axis=1)
-            order = np.lexsort((held, best), axis=1)[:, :k]
-            best, held = np.take_along_axis(best, order, 1), np.take_along_axis(held, order, 1)
-        n = best.shape[1]
-        yield pa.record_batch([pa.array([q for q in ids for _ in range(n)], pa.int64()), pa.array(held.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", id, "distance"])
-
-    return rows
+    A matrix product shows which rows can be among the k, its rounding allowed for; their distances are then summed as they are.
+    """
+    if metric != "L2":
+        x, wanted = (np.divide(v, n, out=np.zeros_like(v), where=n > 0) for v in (x, wanted) for n in [np.linalg.norm(v, axis=1, keepdims=True)])
+    size, most = (x * x).sum(axis=1), min(k, len(x))
+    found = []
+    for start in range(0, len(wanted), block):
+        q = wanted[start : start + block]
+        own = (q * q).sum(axis=1)
+        near = size[None, :] + own[:, None] - 2 * q @ x.T
+        slack = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (size.max(initial=0) + own)
+        row, col = np.nonzero(~(near > (np.partition(near, most - 1, axis=1)[:, most - 1] + slack)[:, None]))
+        d = np.empty(len(row))
+        for i in range(0, len(row), 1 << 16):
+            a, b = x[col[i : i + (1 << 16)]], q[row[i : i + (1 << 16)]]
+            d[i : i + (1 << 16)] = ((a - b) ** 2).sum(axis=1) if metric == "L2" else 1.0 - (a * b).sum(axis=1)
+        order = np.lexsort((at[col], d, row))
+        row, col, d = row[order], col[order], d[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[best] + start, at[col[best]], d[best]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+#: Numbers in the vectors of a block; the vectors that meet in a task are two such blocks.
+BLOCK_NUMBERS = 1 << 20
+#: Distances computed at once.
+BLOCK_PAIRS = 1 << 22
+
+
+def block_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id: str, vec: str, block: int | None = None, cell: str | None = None) -> DataFrame:
+    """(query_id, id, distance, rank): k nearest for each of queries (query_id, query), of the same cell where one is named.
+
+    Every block of queries meets every block of vectors in some task, so what a task holds is bounded and neither the plan
+    nor what the driver gets grows with the input. The pairs themselves are as many as there are; a query leaves k rows a block.
+    """
+    keys = [cell] if cell else []
+    x = vectors.where(F.col(vec).isNotNull()).select(*keys, id, F.col(vec).cast("array<double>").alias(vec))
+    q = queries.where(F.col("query").isNotNull()).select(*keys, "query_id", F.col("query").cast("array<double>").alias("query"))
+
+    def parts(df: DataFrame, v: str) -> tuple[int, int]:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(v)).alias("dims")).agg(F.max("n"), F.max("dims")).first()  # one row
+        n, dims = (c or 1 for c in counts)
+        return -(-n * dims // BLOCK_NUMBERS), -(-n // 1024)
+
+    (across, some), (down, _) = parts(x, vec), parts(q, "query")
+    across = max(across, min(some, vectors.sparkSession.sparkContext.defaultParallelism // (1 if not cell else 4)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = x.withColumn("_x", dealt(id, across)).withColumn("_q", every(down))
+    q = q.withColumn("_q", dealt("query_id", down)).withColumn("_x", every(across))
+
+    def matrix(t: pa.Table, name: str) -> np.ndarray:
+        return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if left.num_rows and right.num_rows:
+            at = min(block or right.num_rows, max(1, BLOCK_PAIRS // left.num_rows))
+            row, hit, d = closest(matrix(left, vec), left.column(id).to_numpy(), matrix(right, "query"), k, metric, at)
+            found = [right.column("query_id").to_numpy()[row], hit, d]
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", id, "distance"])
+
+    on = [*keys, "_x", "_q"]
+    met = x.groupBy(*on).cogroup(q.groupBy(*on)).applyInArrow(meet, f"query_id long, {id} long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", id)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", id, "distance", "rank")
 
 
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str = "L2", block: int = 1000, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """k nearest for each of a set of queries (query_id, query), in blocks against all vectors; a task keeps k a query before anything is shuffled."""
-    found, held = [], []
-
-    def search(part: list) -> DataFrame:
-        return vectors.select(id, vec).mapInArrow(nearest(part, k, metric, id, vec), f"query_id long, {id} long, distance double")
-
-    for q in queries.select("query_id", "query").toLocalIterator():
-        held.append((q.query_id, q.query))
-        if len(held) == block:
-            found.append(search(held))
-            held = []
-    if held or not found:
-        found.append(search(held) if held else vectors.select(F.lit(0).cast("long").alias("query_id"), id, F.lit(0.0).alias("distance")).where("false"))
-    w = Window.partitionBy("query_id").orderBy("distance", id)
-    every = reduce(DataFrame.unionByName, found)
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", id, "distance", "rank")
+    """k nearest for each of a set of queries (query_id, query), all against all; at most `block` queries are compared at once."""
+    return block_search(vectors, queries, k, metric, id, vec, block)
 
 
 def within(vectors: DataFrame, query: list[float], threshold: float, *, metric: str = "L2", vec: str = "embedding") -> DataFrame:
