@@ -10,10 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vectors import METRICS
+from .vectors import block_search
 
 
 def fit(vectors: DataFrame, cells: int, *, sample: int = 20_000, rounds: int = 10, id: str = "vec_id", vec: str = "embedding") -> np.ndarray:
@@ -59,6 +59,4 @@ def build(vectors: DataFrame, path: str, cells: int, *, id: str = "vec_id", vec:
 def search(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, *, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, id, distance): the k nearest in the probed cells for each of queries (query_id, query)."""
     wanted = queries.select("query_id", "query").mapInArrow(assign(centroids, probes, "query_id", "query"), "cell int, query_id long, query array<float>")
-    met = spark.read.parquet(path).join(wanted, "cell").select("query_id", F.struct(METRICS["L2"](F.col(vec), F.col("query")).alias("distance"), F.col(id)).alias("hit"))
-    w = Window.partitionBy("query_id").orderBy("hit.distance", f"hit.{id}")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", f"hit.{id}", "hit.distance", "rank")
+    return block_search(spark.read.parquet(path), wanted, k, "L2", id, vec, cell="cell")
