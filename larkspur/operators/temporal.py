@@ -75,7 +75,8 @@ def envelopes(log: DataFrame, keys: list[str], order: str, value: str, time: str
 def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """PUBLISH: messages (channel, message) to subscriptions (subscriber, pattern, is_glob); a channel that fits two of a subscriber's patterns comes twice.
 
-    Globs are joined by their plain beginnings, of any number, and then held against the channel as a whole.
+    Globs, of any number, are joined by their plain beginnings to each different channel, which is then held against the
+    whole of them once, however many messages it has.
     """
     out = messages.join(subscriptions.where("not is_glob"), F.col("channel") == F.col("pattern")).select("subscriber", "channel", "message")
     plain = F.regexp_extract("pattern", r"^[^*?\[\\]*", 0)
@@ -83,9 +84,9 @@ def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     escaped = F.regexp_replace(F.regexp_replace(escaped, r"(?<!\\)\*", r"[\\s\\S]*"), r"(?<!\\)\?", r"[\\s\\S]")
     globs = subscriptions.where("is_glob").select("subscriber", plain.alias("_begin"), F.concat(F.lit("^"), escaped, F.lit("$")).alias("_whole"))
     begins = F.transform(F.sequence(F.lit(0), F.length("channel")), lambda n: F.substr("channel", F.lit(1), n))
-    spread = messages.where(F.col("channel").isNotNull()).withColumn("_begin", F.explode(begins))
-    hit = spread.join(globs, "_begin").where("channel rlike _whole").select("subscriber", "channel", "message")
-    return out.unionByName(hit)
+    channels = messages.select("channel").where(F.col("channel").isNotNull()).distinct().withColumn("_begin", F.explode(begins))
+    hit = channels.join(globs, "_begin").where("channel rlike _whole").select("channel", "subscriber")
+    return out.unionByName(messages.join(hit, "channel").select("subscriber", "channel", "message"))
 
 
 def read_changes(events: DataFrame, from_lsn: int, count: int = 256, order: str = "lsn") -> DataFrame:
