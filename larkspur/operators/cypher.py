@@ -513,24 +513,31 @@ class Compiler:
         self.fresh += 1
         return f"__{self.fresh}"
 
-    def hop(self, part: EdgePart, name: str | None) -> DataFrame:
-        """(__a, __b[, edge]): one row for each neighbour."""
+    def ways(self, part: EdgePart, name: str | None) -> DataFrame:
+        """(__a, __b[, edge]): a row for each edge and way along it."""
         e = self.edges.where(F.col("type").isin(part.types)) if part.types else self.edges
         if name:
             e = e.select("src", "dst", F.struct(*[c for c in e.columns]).alias(name))
             e = self.check(e, part, name)
         ends = {"OUT": ("src", "dst"), "IN": ("dst", "src")}
         ways = [e.select(F.col(a).alias("__a"), F.col(b).alias("__b"), *([name] if name else [])) for d, (a, b) in ends.items() if part.direction in (d, "BOTH")]
-        out = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+        return ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+
+    def hop(self, part: EdgePart, name: str | None) -> DataFrame:
+        """(__a, __b[, edge]): one row for each neighbour."""
+        out = self.ways(part, name)
         if not name:
             return out.distinct()
         order = F.col(f"`{name}`.weight") if "weight" in self.edges.columns else F.col("__b")
         return out.groupBy("__a", "__b").agg(F.min_by(F.col(name), order).alias(name))
 
     def reach(self, sources: DataFrame, part: EdgePart) -> DataFrame:
-        """(__a, __b): breadth-first from each source, each target once at its least hops, those within bounds."""
+        """(__a, __b): breadth-first from each source, each target once at its least hops, those within bounds.
+
+        Only what a round reaches is made distinct, not the edges of the whole graph.
+        """
         low, high = part.hops
-        hop = self.hop(part, self.named(part) if part.props else None).select(F.col("__a").alias("__x"), F.col("__b").alias("__y"))
+        hop = self.ways(part, self.named(part) if part.props else None).select(F.col("__a").alias("__x"), F.col("__b").alias("__y"))
         now = sources.select(F.col("__a"), F.col("__a").alias("__b"), F.lit(0).alias("__d"))
         seen = now
         for d in range(1, high + 1):
