@@ -69,20 +69,31 @@ def match(nodes: DataFrame, edges: DataFrame, *, left: str | None = None, right:
 
 
 def shortest(edges: DataFrame, start: DataFrame, depth: int, direction: str = "OUT") -> DataFrame:
-    """(id, cost): least sum of weights over at most depth edges (Bellman-Ford rounds)."""
-    return shortest_paths(edges, start, depth, direction).select("id", "cost")
+    """(id, cost): least sum of weights over at most depth edges (Bellman-Ford rounds); costs travel without their paths."""
+    e = weighted(edges, direction, depth)
+    now = start.select("id", F.lit(0.0).alias("cost"))
+    for d in range(depth):
+        step = now.join(e, now.id == e.a).select(F.col("b").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"))
+        now = now.unionByName(step).groupBy("id").agg(F.min("cost").alias("cost"))
+        now = written(now, "relaxed") if d < depth - 1 else now
+    return now
+
+
+def weighted(edges: DataFrame, direction: str, depth: int) -> DataFrame:
+    """(a, b, weight) along edges, parallel ones as they are: the least at each node is found anyway. Written where rounds read it again."""
+    a, b = ("src", "dst") if direction == "OUT" else ("dst", "src")
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), "weight")
+    return written(e, "edges") if depth > 1 else e
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, depth: int, direction: str = "OUT", most: float | None = None) -> DataFrame:
     """(id, cost, path): a cheapest path of at most depth edges, of equal ones the first by its nodes; none above cost most. Rounds are written."""
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
-    e = e if direction == "OUT" else e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
-    e = e.groupBy("a", "b").agg(F.min("weight").alias("weight"))
+    e = weighted(edges, direction, depth)
     now = start.select("id", F.lit(0.0).alias("cost"), F.array("id").alias("path"))
     for d in range(depth):
         step = now.join(e, now.id == e.a).select(F.col("b").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.array_append("path", F.col("b")).alias("path"))
         step = step if most is None else step.where(F.col("cost") <= most)
-        best = now.unionByName(step).groupBy("id").agg(F.min(F.struct("cost", "path")).alias("best"))
+        best = now.unionByName(step).groupBy("id").agg(F.min(F.struct(F.col("cost").isNull().alias("none"), "cost", "path")).alias("best"))
         now = best.select("id", "best.cost", "best.path")
         now = written(now, "relaxed") if d < depth - 1 else now
     return now
