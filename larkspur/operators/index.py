@@ -6,10 +6,15 @@ groups of its terms; terms (field, term, df, cf); fields (field, kind, n, avgdl)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import B, K1, corpus_stats, postings
+from .search import B, K1, STOPWORDS, pieces, postings
 
 
 def _folder(spark: SparkSession, path: str):
@@ -21,15 +26,43 @@ def create(docs: DataFrame, root: str, name: str, fields: list[str], *, id: str
     """FT.CREATE over text fields, for the documents whose key has the prefix; an index of that name is an error."""
     docs = docs if prefix is None else docs.where(F.col(key).startswith(prefix))
     path = f"{root}/{name}"
-    rows = postings(docs, fields, id)
+    single = docs.groupBy(id).count().where("count > 1").isEmpty()
+    rows = counted(docs, fields, id) if single else postings(docs, fields, id)
+    rows.write.parquet(f"{path}/counted")  # ranges are found from its terms alone, and nothing is counted twice
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/counted")
     rows.repartitionByRange("term").sortWithinPartitions("term", "field", "doc_id").write.option("parquet.block.size", str(16 << 20)).parquet(f"{path}/postings")
+    drop(docs.sparkSession, path, "counted")
     held = docs.sparkSession.read.parquet(f"{path}/postings")
     held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    figures = [corpus_stats(docs, f).select(F.lit(f).alias("field"), F.lit("TEXT").alias("kind"), "n", "avgdl") for f in fields]
-    out = figures[0]
-    for f in figures[1:]:
-        out = out.unionByName(f)
-    out.coalesce(1).write.parquet(f"{path}/fields")
+    words = docs.sparkSession.read.parquet(f"{path}/terms").groupBy("field").agg(F.sum("cf").alias("words"))  # a row a field
+    named = [F.struct(F.lit(f).alias("field"), F.lit("TEXT").alias("kind"), F.col(f"n{i}").alias("n")) for i, f in enumerate(fields)]
+    figures = docs.agg(*[F.count(f).alias(f"n{i}") for i, f in enumerate(fields)]).select(F.inline(F.array(*named))).join(F.broadcast(words), "field", "left")
+    figures.select("field", "kind", "n", F.try_divide(F.coalesce("words", F.lit(0)), F.col("n")).alias("avgdl")).coalesce(1).write.parquet(f"{path}/fields")
+
+
+def counted(docs: DataFrame, fields: list[str], id: str) -> DataFrame:
+    """`postings` of documents with ids of their own: words are counted where they are read, and not shuffled.
+
+    Each different word of a batch is held against the stopwords once.
+    """
+    stop = pa.array(STOPWORDS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, field in enumerate(fields):
+                words = batch.column(i + 1)
+                each = words.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(batch)), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+                term = each.indices.to_numpy(zero_copy_only=False)
+                kept = pc.and_(pc.greater_equal(pc.binary_length(each.dictionary), 2), pc.invert(pc.is_in(each.dictionary, stop))).to_numpy(zero_copy_only=False)
+                row, term = (x[kept[term]] if len(term) else x for x in (row, term))
+                length, n = np.bincount(row, minlength=len(batch)), max(1, len(each.dictionary))
+                pair, tf = np.unique(row * n + term, return_counts=True)
+                at, term = pair // n, pair % n
+                yield pa.record_batch([pa.repeat(field, len(pair)), batch.column(0).take(pa.array(at)), each.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64)), pa.array(length[at].astype(np.int32))], names=["field", "doc_id", "term", "tf", "dl"])
+
+    given = docs.select(F.col(id).alias("doc_id"), *[pieces(F.col(f)).alias(f"w{i}") for i, f in enumerate(fields)])
+    return given.mapInArrow(rows, f"field string, doc_id {docs.schema[id].dataType.simpleString()}, term string, tf long, dl int")
 
 
 def drop(spark: SparkSession, root: str, name: str) -> bool:

@@ -15,10 +15,14 @@ MARKED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaa
 K1, B = 1.2, 0.75
 
 
+def pieces(text: Column) -> Column:
+    """Lower-cased, unmarked pieces between other characters than letters and digits, in order."""
+    return F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, FOLDED), r"[^\p{L}\p{N}]+")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased, unmarked words of at least two bytes that are no stopwords, in order."""
-    found = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, FOLDED), r"[^\p{L}\p{N}]+")
-    return F.filter(found, lambda w: (F.octet_length(w) >= 2) & ~w.isin(*STOPWORDS))
+    return F.filter(pieces(text), lambda w: (F.octet_length(w) >= 2) & ~w.isin(*STOPWORDS))
 
 
 def postings(docs: DataFrame, fields: list[str], id: str = "doc_id") -> DataFrame:
